@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from plumbline.llm import ann, bpe, language, topk
+from plumbline.llm import ann, bpe, language, ngram_join, packing, quality, topk
 
-QUERIES = {f.__name__: f for f in (ann.op2_nearest_neighbours, bpe.op3_byte_bpe, topk.op9_exact_topk, language.op10_language_id)}
-ORACLES = {"op9_exact_topk": topk.ORACLE_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        ngram_join.op1_ngram_join,
+        ann.op2_nearest_neighbours,
+        bpe.op3_byte_bpe,
+        quality.op4_quality,
+        packing.op7_best_fit_packing,
+        topk.op9_exact_topk,
+        language.op10_language_id,
+    )
+}
+ORACLES = {"op1_ngram_join": ngram_join.ORACLE_SQL, "op9_exact_topk": topk.ORACLE_SQL}
