@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import ann, bpe, language, ngram_join, packing, quality, topk
+from plumbline.llm import ann, bpe, language, lines, ngram_join, packing, quality, topk
 
 QUERIES = {
     f.__name__: f
@@ -11,9 +11,10 @@ QUERIES = {
         ann.op2_nearest_neighbours,
         bpe.op3_byte_bpe,
         quality.op4_quality,
+        lines.op5_line_dedup,
         packing.op7_best_fit_packing,
         topk.op9_exact_topk,
         language.op10_language_id,
     )
 }
-ORACLES = {"op1_ngram_join": ngram_join.ORACLE_SQL, "op9_exact_topk": topk.ORACLE_SQL}
+ORACLES = {"op1_ngram_join": ngram_join.ORACLE_SQL, "op5_line_dedup": lines.ORACLE_SQL, "op9_exact_topk": topk.ORACLE_SQL}
