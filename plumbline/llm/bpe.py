@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding.
 
-Each pre-token is a doubly linked list of byte strings. Pairs that can merge wait in
+Each pre-token is a doubly linked list of tokens. Pairs that can merge wait in
 buckets, one for each merge rank; a hierarchical bitmap tells which buckets hold any,
 and find-first-set picks the lowest rank. Within a rank the leftmost pair goes first.
 Entries whose pair has changed since are stale and skipped. A pre-token of n bytes
@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from array import array
 from collections.abc import Iterable
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -24,54 +24,31 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import table
 
-CACHED = 400_000
+CACHED = 500_000
 CACHED_BYTES = 64
 
 
-class RankQueue:
-    """Positions by rank; three levels of 64-bit words tell the non-empty ranks."""
-
-    def __init__(self, ranks: int) -> None:
-        sizes = [-(-ranks // 64)]
-        while sizes[-1] > 1:
-            sizes.append(-(-sizes[-1] // 64))
-        self.levels = [[0] * n for n in sizes]
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        if bucket := self.buckets.get(rank):
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        at = rank
-        for level in self.levels:
-            word, bit = at >> 6, 1 << (at & 63)
-            was = level[word]
-            level[word] = was | bit
-            if was:
-                break
-            at = word
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank and its leftmost position."""
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            if not word:
-                return None
-            at = (at << 6) + (word & -word).bit_length() - 1
-        bucket = self.buckets[at]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            below = at
-            for level in self.levels:
-                word = below >> 6
-                level[word] &= ~(1 << (below & 63))
-                if level[word]:
-                    break
-                below = word
-        return at, position
+class Known(dict):
+    """Ids of pre-tokens, as bytes: those of two generations of CACHED entries at most, so that frequent ones stay."""
+
+    def __init__(self, pairs: BytePairs) -> None:
+        self.pairs = pairs
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            ids = array("I", self.pairs.merge(raw)).tobytes()
+            if len(raw) > CACHED_BYTES:
+                return ids
+        self[piece] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > CACHED:
+            self.older = dict(self)
+            self.clear()
 
 
 class BytePairs:
@@ -80,61 +57,97 @@ class BytePairs:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        # What two neighbours merge into: the rank of the token that they spell.
+        self.pairs = {
+            ranks[token[:i]] << 32 | ranks[token[i:]]: rank for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks
+        }
         self.split = regex.compile(pattern)
-        self.queue = RankQueue(max(ranks.values()) + 1)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.words = [0] * ((max(ranks.values()) >> 8) + 1)
+        self.known = Known(self)
         self.plain = plain_pattern(pattern)
 
     def merge(self, piece: bytes) -> list[int]:
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
+        """Ids of one pre-token.
+
+        ``words[rank >> 8]`` has a bit for each rank with a bucket, ``top`` one for each word
+        with bits; both are empty again at the end. The queue is kept in local names, as the
+        calls would cost more than the work.
+        """
+        if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n = len(piece)
-        parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        n, pair, words = len(piece), self.pairs.get, self.words
+        ids = [self.byte_ids[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waits: list[int] = [-1] * n  # the rank under which the pair that starts here waits
-        queue = self.queue
-        for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
-                waits[i] = r
-                queue.push(r, i)
-        while (found := queue.pop()) is not None:
-            rank, i = found
-            if waits[i] != rank or parts[i] is None:
+        # The rank under which the pair that starts here waits; None where nothing does.
+        waits = [pair(x << 32 | y) for x, y in zip(ids, ids[1:])]  # noqa: B905
+        waits.append(None)
+        buckets: dict[int, int | list[int]] = {}  # mostly of a single position
+        top = 0
+        for i, rank in enumerate(waits):
+            if rank is not None:
+                if rank in buckets:
+                    held = buckets[rank]
+                    if type(held) is int:
+                        buckets[rank] = [held, i]
+                    else:
+                        held.append(i)  # in ascending order, which is a heap
+                else:
+                    buckets[rank] = i
+                    words[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            rank = (word << 8) + (bits & -bits).bit_length() - 1
+            i = buckets[rank]
+            if type(i) is not int and len(i) > 1:
+                i = heappop(i)
+            else:
+                if type(i) is not int:
+                    i = i[0]
+                del buckets[rank]
+                words[word] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
+            if waits[i] != rank:
                 continue  # stale
             j = after[i]
-            parts[i], parts[j], waits[j] = parts[i] + parts[j], None, -1
+            ids[i], ids[j], waits[j] = rank, -1, None
             after[i] = k = after[j]
+            left = before[i]
             if k < n:
                 before[k] = i
-            for left in (before[i], i):
+                new = pair(rank << 32 | ids[k])
+            else:
+                new = None
+            waits[i] = new
+            while True:  # for the pair that starts here, and the one that ends here
+                if new is not None:
+                    held = buckets.get(new)
+                    if held is None:
+                        buckets[new] = i
+                        words[new >> 8] |= 1 << (new & 255)
+                        top |= 1 << (new >> 8)
+                    elif type(held) is int:
+                        buckets[new] = [held, i] if held < i else [i, held]
+                    else:
+                        heappush(held, i)
                 if left < 0:
-                    continue
-                right = after[left]
-                r = ranks.get(parts[left] + parts[right]) if right < n else None
-                if r is None:
-                    waits[left] = -1
-                else:
-                    waits[left] = r
-                    queue.push(r, left)
-        return [ranks[p] for p in parts if p is not None]
-
-    def piece_ids(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        ids = tuple(self.merge(raw))
-        if len(raw) <= CACHED_BYTES:
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            self.cache[piece] = ids
-        return ids
+                    break
+                i, left = left, -1
+                new = pair(ids[i] << 32 | rank)
+                if new == waits[i]:
+                    break
+                waits[i] = new
+        return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> array:
         """Ids of a whole text, each match of the pattern by itself."""
-        out, cached, slow = array("I"), self.cache.get, self.piece_ids
         split = self.plain if self.plain is not None and PLAIN_TEXT.fullmatch(text) else self.split
-        for piece in split.findall(text):
-            out.extend(cached(piece) or slow(piece))
-        return out
+        ids = array("I", b"".join(map(self.known.__getitem__, split.findall(text))))
+        self.known.trim()
+        return ids
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
