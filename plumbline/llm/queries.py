@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import ann, bpe, language, lines, ngram_join, packing, quality, topk
+from plumbline.llm import ann, bpe, language, lines, ngram_join, packing, quality, suffixes, topk
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         quality.op4_quality,
         lines.op5_line_dedup,
         packing.op7_best_fit_packing,
+        suffixes.op8_suffix_dedup,
         topk.op9_exact_topk,
         language.op10_language_id,
     )
