@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import ann, bpe, language, lines, ngram_join, packing, quality, suffixes, topk
+from plumbline.llm import ann, bpe, language, lines, ngram_join, packing, passages, quality, suffixes, topk
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         bpe.op3_byte_bpe,
         quality.op4_quality,
         lines.op5_line_dedup,
+        passages.op6_substring_dedup,
         packing.op7_best_fit_packing,
         suffixes.op8_suffix_dedup,
         topk.op9_exact_topk,
