@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -81,5 +80,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def env_path(variable: str, default: str) -> str:
-    return os.environ.get(variable, default)
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of each run of equal neighbours."""
+    if not len(values):
+        return []
+    begins = np.flatnonzero(np.append(True, values[1:] != values[:-1])).tolist()
+    return list(zip(begins, [*begins[1:], len(values)], strict=True))

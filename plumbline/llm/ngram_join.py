@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix, table, written
+from plumbline.llm.common import mix, runs, table, written
 from plumbline.llm.components import components
 from plumbline.llm.shingles import document_sets, set_id
 
@@ -152,8 +152,7 @@ def _dealt(docs: DataFrame, k: int, buckets: int, hot: np.ndarray) -> DataFrame:
                     t, p, bucket = t[order], p[order], bucket[order]
                 else:
                     bucket = t // width
-                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(t) else np.empty(0, int)
-                for a, b in zip(cuts, np.append(cuts[1:], len(t)), strict=True):
+                for a, b in runs(bucket):
                     rows.append({"bucket": int(bucket[a]), "hot": kind, **_posting_row(t[a:b], p[a:b], sids, sizes)})
             for at in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_pylist(rows[at : at + 64], BLOB_FIELDS)
@@ -181,8 +180,7 @@ def _shared(dealt: DataFrame, buckets: int, hot: np.ndarray, ranks: np.ndarray)
             order = np.lexsort((tokens, sids))
             tokens, sids, sizes, df = tokens[order], sids[order], sizes[order], df[order]
             bucket = sids // width
-            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(sids) else np.empty(0, int)
-            for a, b in zip(cuts, np.append(cuts[1:], len(sids)), strict=True):
+            for a, b in runs(bucket):
                 own, first, count = np.unique(sids[a:b], return_index=True, return_counts=True)
                 out.append((int(bucket[a]), _pack(tokens[a:b]), _pack(_narrow(df[a:b])), _pack(own), _pack(_narrow(sizes[a:b][first])), _pack(_narrow(count))))
 
