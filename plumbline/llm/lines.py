@@ -53,22 +53,28 @@ def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int =
     rows without a site add none to a line's spread; rows may repeat, and their sites count
     once; rows without doc_id are cleaned like others. All columns and rows are kept.
     """
-    own = docs.select(F.col("doc_id").alias("_id"), F.posexplode(F.split("text", "\n")).alias("_at", "_line"))
-    own = own.select("_id", _key(_trimmed(F.col("_line"))).alias("key"), F.length(_trimmed(F.col("_line"))).alias("_chars")).where(F.col("_chars") >= min_chars)
-    hit = own.join(boilerplate(docs, site, min_sites, min_chars), "key").groupBy("_id").agg(F.collect_set("key").alias("_hit"))
-    joined = docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]), "left")
-    lines = F.split("text", "\n")
-    is_hit = lambda x: (F.length(_trimmed(x)) >= min_chars) & F.array_contains("_hit", _key(_trimmed(x)))
+    # The caller's columns travel in a struct, so that none of their names can clash with those made here.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    doc_id, text = F.col("row.doc_id"), F.col("row.text")
+    own = rows.select(doc_id.alias("id"), F.explode(F.split(text, "\n")).alias("line")).select("id", _trimmed(F.col("line")).alias("line"))
+    own = own.where(F.length("line") >= min_chars).select("id", _key(F.col("line")).alias("key"))
+    hit = own.join(boilerplate(docs, site, min_sites, min_chars), "key").groupBy("id").agg(F.collect_set("key").alias("hit"))
+    joined = rows.join(hit, doc_id.eqNullSafe(F.col("id")), "left").select("row", "hit")
+    lines = F.split(text, "\n")
+    is_hit = lambda x: (F.length(_trimmed(x)) >= min_chars) & F.array_contains("hit", _key(_trimmed(x)))
     kept = F.filter(lines, lambda x: ~F.coalesce(is_hit(x), F.lit(False)))
-    text = F.when(F.col("_hit").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    lost = F.length("text") - F.length("_text")
-    is_copy = lost > max_share * F.length("text")
-    n_removed = F.size(lines) - F.when(F.col("_hit").isNull(), F.size(lines)).otherwise(F.size(kept))
-    out = joined.withColumns({"_text": text, "_n": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), "_removed": n_removed})
-    changed = F.col("_hit").isNotNull() & ~is_copy
-    out = out.withColumns({"n_lines": F.col("_n").cast("long"), "n_removed": F.coalesce(F.when(changed, F.col("_removed")), F.lit(0)).cast("long")})
-    out = out.withColumn("text", F.when(changed, F.col("_text")).otherwise(F.col("text")))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    out = joined.withColumns({"lines": lines, "kept": F.when(F.col("hit").isNotNull(), kept)})
+    out = out.withColumn("stays", F.array_join("kept", "\n"))
+    is_copy = F.length(text) - F.length("stays") > max_share * F.length(text)
+    out = out.withColumn("changed", F.coalesce(F.col("kept").isNotNull() & ~is_copy, F.lit(False)))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size("lines")).cast("long")
+    n_removed = F.when(F.col("changed"), F.size("lines") - F.size("kept")).otherwise(0).cast("long")
+    new = F.when(F.col("changed"), F.col("stays")).otherwise(text)
+    names = [c for c in docs.columns if c not in COUNTS]
+    return out.select(*[(new if c == "text" else F.col("row").getField(c)).alias(c) for c in names], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+
+
+COUNTS = ("n_lines", "n_removed")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
