@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nulls and loops are ignored; edges may repeat and point either way.
     """
-    e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = None
     while True:
         e = written(_small_star(_large_star(e)), "stars")
