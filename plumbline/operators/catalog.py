@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.geo import cell_of
 from plumbline.functions.text import address_context, address_key, normalize, public_id, word_count
+from plumbline.operators.lineage import cut
 
 NAME_WEIGHT, ALIAS_WEIGHT, ADDRESS_WEIGHT = 10.0, 5.0, 1.0
 SATURATION, LENGTH_SHARE = 1.2, 0.75
@@ -93,10 +94,11 @@ def address_cells(entities_: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
     """``rows`` with a 1-based rank by ``key`` and no partition that holds all rows.
 
-    Rows are dealt into ranges; the sizes of the ranges, which are few, give each its first
-    number, and each range numbers its own.
+    Rows are dealt into ranges and kept so by a checkpoint, as another run of the same plan could
+    cut them elsewhere. The sizes of the ranges, which are few, give each its first number, and
+    each range numbers its own.
     """
-    spread = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
+    spread = cut(rows.repartitionByRange(key)).withColumn("_part", F.spark_partition_id())
     sizes = spread.groupBy("_part").agg(F.count("*").alias("n"))
     firsts = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_first"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(key))

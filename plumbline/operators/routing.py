@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.geo import distance
-from plumbline.operators.search import cut
+from plumbline.operators.lineage import cut
 
 # The least dimension limits that let a car pass, by rule type.
 LIMITS = {1: 190, 2: 200, 3: 500, 4: 180, 5: 110}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.geo import centre_lng, contains, distance
 from plumbline.functions.text import context_of, has_street_suffix, normalize, text_match_class
 from plumbline.operators.catalog import bm25, frequency, kind_rank, one_street_each
+from plumbline.operators.lineage import cut
 
 AREA_RANKS = {"region": 0, "locality": 1, "macrohood": 2, "neighborhood": 3, "county": 4}
 
@@ -164,17 +165,6 @@ def ancestors(children: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise ValueError(f"parents go on for more than {max_rounds} steps")
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """``rows`` without its lineage, in the folder that the cluster names for checkpoints."""
-    spark = rows.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
-    return rows.checkpoint()
-
-
 def in_context(queries: DataFrame, entities: DataFrame, closure: DataFrame, limit: int = 5, ascii_only: bool = False) -> DataFrame:
     """(query_id, rank, id): localities named in ``city, state`` inputs that lie under the named region.
 

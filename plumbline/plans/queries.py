@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import graph, lookup, records, streams  # noqa: F401  they register theirs
+from plumbline.plans import graph, lookup, more, records, streams  # noqa: F401  they register theirs
 
 QUERIES = lookup.Q
 ORACLES = lookup.SQL
