@@ -27,8 +27,8 @@ from plumbline.llm.shingles import document_sets, set_id
 
 WORDS = 5
 LIKE = (4, 5)
-BUCKET_BYTES = 16 << 20
-CHUNK = 4_000_000
+BUCKET_BYTES = 8 << 20
+CHUNK = 2_000_000
 HOT = 65_536
 BLOCK = 4_096
 CODEC = pa.Codec("zstd", compression_level=1)
