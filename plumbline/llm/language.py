@@ -33,7 +33,7 @@ def letter_vectors(width: int = WIDTH) -> np.ndarray:
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct trigrams of the letters of a whole text (words set off by gaps), and how often each occurs."""
     letters = NOT_LETTERS.sub(" ", text.lower()).strip()
-    if not letters:
+    if not any(map(str.isalpha, letters)):  # number signs are no letters
         return np.empty(0, np.int64), np.empty(0, np.int64)
     codes = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32).astype(np.int64)
     codes = np.where(codes == 32, 0, codes % (LETTERS - 1) + 1)

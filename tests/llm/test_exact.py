@@ -168,7 +168,7 @@ def test_chi_square_quantile():
 TRICKY = [None, "", " ", "a", "ab" * 3_000, "don't Stop,  now!!\n\n x", "É 한국어 😀   x ΣΑΣ ſ", "1234567 ²½ x_y __", "<|endoftext|> it's", "\x1c\x1f tab\t", "naïve Ünïcode ﬁ İstanbul", "x" * 5_000, prose(1, 3_000)]
 
 
-def reference_encoding():
+def library_encoding():
     import base64
 
     import tiktoken
@@ -179,7 +179,7 @@ def reference_encoding():
 
 
 def test_byte_bpe_round_trip(spark):
-    path, own = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), reference_encoding()
+    path, own = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), library_encoding()
     rows = list(enumerate(TRICKY)) + [(None, "x"), (3, "a")]
     got = bpe.round_trip(documents(spark, rows), path, public_tokenizers.PATTERN).collect()
     want = []
@@ -193,7 +193,7 @@ def test_byte_bpe_round_trip(spark):
 
 
 def test_byte_bpe_on_random_text():
-    pairs, own = bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN), reference_encoding()
+    pairs, own = bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN), library_encoding()
     r = random.Random(3)
     letters = [chr(c) for c in [*range(1, 0x250), 0x301, 0x4E2D, 0x1F600, 0x2014, 0x3000]]
     for _ in range(800):

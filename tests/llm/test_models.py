@@ -30,11 +30,11 @@ def test_language_depends_on_text_alone(spark):
 
 
 def test_language_odd_rows(spark):
-    rows = [(i, prose(i, 40)) for i in range(10)] + [(20, None), (21, ""), (22, "1234 !!"), (None, "words"), (0, prose(0, 40)), (23, "x" * 100_000)]
+    rows = [(i, prose(i, 40)) for i in range(10)] + [(20, None), (21, ""), (22, "1234 !!"), (24, "² Ⅷ _"), (None, "words"), (0, prose(0, 40)), (23, "x" * 100_000)]
     got = language.identify(documents(spark, rows)).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
-    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (20, 21, 22))
+    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (20, 21, 22, 24))
     assert by[1].lang_pred == "en"
     assert language.identify(documents(spark, rows).limit(0)).collect() == []
     unlabelled = documents(spark, rows).withColumn("lang", F.lit(None).cast("string"))
