@@ -291,10 +291,11 @@ def _across(open_: DataFrame, width: int, lead: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> DataFrame:
     """(uid, begin, stop) that together cover each byte of a repeated string of ``docs`` (uid, text)."""
     every = _stretches(docs, width, lead)
-    shared = every.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("lead")
+    # Written, so that the join has an exchange of its own on either side and a common lead can be split.
+    shared = written(every.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("lead"), "suffix-leads")
     some = written(every.join(shared, "lead", "left_semi").select(*STRETCH_NAMES), "suffix-stretches")
     same = ["lead", "head", "tail", "lo", "hi"]
-    classes = some.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one"))
+    classes = written(some.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one")), "suffix-classes")
     many = classes.where(F.col("n") > 1).select(*same)
     whole = some.join(many, same, "left_semi").select("uid", (F.col("at") - F.col("lo")).alias("begin"), (F.col("at") + lead + F.col("hi")).alias("stop"))
     mixed = classes.groupBy("lead").agg(F.count("*").alias("k"), F.min("n").alias("least")).where((F.col("k") > 1) & (F.col("least") == 1)).select("lead")
