@@ -46,8 +46,9 @@ def viewports(spark: SparkSession) -> DataFrame:
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    e = places(spark, sf_dir)
-    return e, catalog.postings(e), catalog.corpus_stats(e)
+    """Entities, postings and statistics, which a search reads many times; kept in memory or on disk, and rebuilt if lost."""
+    e = places(spark, sf_dir).persist()
+    return e, catalog.postings(e).persist(), catalog.corpus_stats(e)
 
 
 Q: dict[str, object] = {}
