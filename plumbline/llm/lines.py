@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import table, written
 
 MIN_SITES = 10
 MIN_CHARS = 8
@@ -38,7 +38,7 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     spread = lines.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_BITS))).alias("sites"))
     spread = spread.where(F.col("sites") >= min_sites - margin)
     sure = spread.where(F.col("sites") > min_sites + margin).select("key")
-    near = spread.where(F.col("sites") <= min_sites + margin).select("key")
+    near = written(spread.where(F.col("sites") <= min_sites + margin).select("key"), "near-threshold")
     counted = lines.join(near, "key", "left_semi").groupBy("key").agg(F.count_distinct("site").alias("sites"))
     return sure.unionAll(counted.where(F.col("sites") >= min_sites).select("key"))
 
@@ -58,7 +58,9 @@ def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int =
     doc_id, text = F.col("row.doc_id"), F.col("row.text")
     own = rows.select(doc_id.alias("id"), F.explode(F.split(text, "\n")).alias("line")).select("id", _trimmed(F.col("line")).alias("line"))
     own = own.where(F.length("line") >= min_chars).select("id", _key(F.col("line")).alias("key"))
-    hit = own.join(boilerplate(docs, site, min_sites, min_chars), "key").groupBy("id").agg(F.collect_set("key").alias("hit"))
+    # Written, so that the join has an exchange of its own on either side and a common line can be split.
+    bad = written(boilerplate(docs, site, min_sites, min_chars), "boilerplate")
+    hit = own.join(bad, "key").groupBy("id").agg(F.collect_set("key").alias("hit"))
     joined = rows.join(hit, doc_id.eqNullSafe(F.col("id")), "left").select("row", "hit")
     lines = F.split(text, "\n")
     is_hit = lambda x: (F.length(_trimmed(x)) >= min_chars) & F.array_contains("hit", _key(_trimmed(x)))
