@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Bytes of an Arrow batch: however long the texts are, a task holds so many at a time.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to BATCH_BYTES, unless it was set by hand."""
+    if spark.conf.get(BATCH_SETTING) == "67108864b":  # Spark's own default
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, which cuts its lineage.
 
     The folder goes when the application's file system is closed.
     """
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
@@ -41,7 +56,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def setting(spark: SparkSession, name: str, default: int) -> int:
+    """A size that follows the executors' memory, from the session's ``spark.plumbline.<name>``. It never changes results."""
+    return int(spark.conf.get(f"spark.plumbline.{name}", str(default)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -68,7 +89,37 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 Batches = Iterator[pa.RecordBatch]
-Mapper = Callable[[Batches], Batches]
+
+
+def _release() -> None:
+    """Gives back what the allocators of this worker hold unused; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def frugal_batches(mapper: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A mapper of record batches that leaves no memory behind."""
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from mapper(batches)
+        finally:
+            _release()
+
+    return run
+
+
+def frugal_frame(mapper: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A mapper of a large group that leaves no memory behind."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return mapper(frame)
+        finally:
+            _release()
+
+    return run
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix, runs, table, written
+from plumbline.llm.common import frugal_batches, frugal_frame, mix, runs, setting, table, written
 from plumbline.llm.components import components
 from plumbline.llm.shingles import document_sets, set_id
 
@@ -74,9 +74,10 @@ BLOB_FIELDS = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), *((x, pa.b
 
 
 class _Chunk:
-    """The distinct sets of a stretch of a partition."""
+    """The distinct sets of a stretch of a partition, up to so many postings."""
 
-    def __init__(self) -> None:
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
         self.held: dict[int, np.ndarray] = {}
         self.size = 0
 
@@ -85,7 +86,7 @@ class _Chunk:
         if sid not in self.held:
             self.held[sid] = hashes
             self.size += len(hashes)
-        return self.size >= CHUNK
+        return self.size >= self.limit
 
     def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tokens sorted, place of the set, ids of sets, sizes of sets)."""
@@ -97,11 +98,12 @@ class _Chunk:
         return tokens[order], np.repeat(np.arange(len(sids), dtype=np.uint32), sizes)[order], sids, sizes
 
 
-def _described(docs: DataFrame, k: int) -> DataFrame:
+def _described(docs: DataFrame, k: int, limit: int) -> DataFrame:
     """Rows (doc_id, n, sid) of all documents, and rows (token, seen) of shingles that many sets of a chunk hold."""
 
+    @frugal_batches
     def describe(batches):
-        chunk, sets = _Chunk(), 0
+        chunk = _Chunk(limit)
 
         def frequent():
             many = max(64, len(chunk.held) // 64)
@@ -129,12 +131,13 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, sid long, token long, seen long")
 
 
-def _dealt(docs: DataFrame, k: int, buckets: int, hot: np.ndarray) -> DataFrame:
+def _dealt(docs: DataFrame, k: int, buckets: int, hot: np.ndarray, limit: int) -> DataFrame:
     """Postings of all distinct sets of each chunk by ranges of shingles; hot shingles by set instead."""
     width = np.uint64(2**64 // buckets + 1)
 
+    @frugal_batches
     def deal(batches):
-        chunk = _Chunk()
+        chunk = _Chunk(limit)
 
         def flush():
             if not chunk.held:
@@ -173,6 +176,7 @@ def _shared(dealt: DataFrame, buckets: int, hot: np.ndarray, ranks: np.ndarray)
     """Of each range the shingles that two sets or more hold, with their counts, dealt by set."""
     width = np.uint64(2**64 // buckets + 1)
 
+    @frugal_frame
     def reduce(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
 
@@ -219,6 +223,7 @@ def _records(shared: DataFrame, like: tuple[int, int]) -> DataFrame:
     """(sid, n, rare, tokens): sets that may have a partner, their shared shingles, and the rarest of those."""
     num, den = like
 
+    @frugal_frame
     def assemble(frame: pd.DataFrame) -> pd.DataFrame:
         tokens, df, sids, sizes = [], [], [], []
         for r in frame.itertuples():
@@ -357,7 +362,7 @@ class Search:
 def _found(members: DataFrame, like: tuple[int, int]) -> DataFrame:
     """Links (a, b) within clusters. Clusters of more than BLOCK sets are searched in pairs of
     blocks; a block holds sets of one class of sizes, and only classes that can be alike meet."""
-    ratio = math.log(like[1] / like[0])
+    ratio = math.log(like[1] / like[0]) * (1 + 1e-9)  # sets at the very limit stay in neighbouring classes
     size_class = F.floor(F.log("n") / ratio).cast("int")
     classed = members.withColumn("c", size_class)
     counts = classed.groupBy("cluster", "c").agg(F.count("*").alias("m"))
@@ -398,15 +403,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, like: tuple[int, int] =
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(2, -(-size // BUCKET_BYTES))
-    described = written(_described(docs, words), "shingle-sets")
+    buckets = max(2, -(-size // setting(spark, "bucketBytes", BUCKET_BYTES)))
+    limit = setting(spark, "chunkPostings", CHUNK)
+    described = written(_described(docs, words, limit), "shingle-sets")
     info = described.where(F.col("n").isNotNull()).select("doc_id", "n", "sid")
     # The order of frequent shingles, at most HOT of them; it steers balance, never results.
     often = described.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(HOT).collect()
     tokens = np.array([r.token for r in often], np.int64).view(np.uint64)
     order = np.argsort(tokens)
     hot, ranks = tokens[order], (np.uint64(1 << 40) + np.array([r.seen for r in often], np.uint64))[order]
-    shared = _shared(_dealt(docs, words, buckets, hot), buckets, hot, ranks)
+    shared = _shared(_dealt(docs, words, buckets, hot, limit), buckets, hot, ranks)
     first = info.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("first"))
     nodes = first.withColumn("node", F.col("sid"))
     records = written(_records(shared, like), "shingle-records")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import PLAIN_TEXT
-from plumbline.llm.common import table, written
+from plumbline.llm.common import frugal_batches, table, written
 
 ROOM = 4_096
 END_ID = 1
@@ -126,6 +126,7 @@ def pieces(docs: DataFrame, path: str, room: int = ROOM) -> DataFrame:
     where longer than ``room``. ``nth`` counts the pieces of a length within a partition."""
     end = np.asarray([END_ID], "<u4").tobytes()
 
+    @frugal_batches
     def cut(batches):
         words, part, seen = load(path), TaskContext.get().partitionId(), np.zeros(room + 1, np.int64)
         for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import FOLDS, held_out, table, written
+from plumbline.llm.common import FOLDS, frugal_batches, held_out, table, written
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -68,6 +68,7 @@ NAMES = [
 def described(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, x): the statistics of every row's whole text."""
 
+    @frugal_batches
     def describe(batches):
         for batch in batches:
             x = [statistics(t or "") for t in batch.column(2).to_pylist()]
@@ -140,6 +141,7 @@ def fit(features: DataFrame, labels: DataFrame) -> Model:
     model.mean = np.array([moments[f"m{i}"] for i in range(width)])
     model.scale = np.array([moments[f"s{i}"] if moments[f"s{i}"] > 1e-9 else 1.0 for i in range(width)])
 
+    @frugal_batches
     def equations(batches):
         total = np.zeros((FOLDS, FEATURES + 1, FEATURES + 2))
         for batch in batches:
@@ -201,6 +203,7 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(described(docs), labels)
     at = docs.columns.index("text")
 
+    @frugal_batches
     def keep(batches):
         for batch in batches:
             x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(NAMES))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix, table, texts, written
+from plumbline.llm.common import frugal_batches, frugal_frame, mix, table, texts, written
 
 WIDTH = 400
 LEAD = 128
@@ -111,6 +111,7 @@ STRETCH_NAMES = ["uid", "at", "lo", "hi", "lead", "head", "tail"]
 def _stretches(docs: DataFrame, width: int, lead: int) -> DataFrame:
     """The stretches of all rows: lead starts at byte ``at``, strings begin ``lo`` before it at most and end ``hi`` after its end."""
 
+    @frugal_batches
     def find(batches):
         for batch in batches:
             data, offsets, _ = texts(batch.column(1))
@@ -134,6 +135,7 @@ def _fetched(docs: DataFrame, reps: DataFrame, lead: int) -> DataFrame:
     # Rows that are equal in id and text share a uid; none of their stretches is alone, so more copies change nothing.
     joined = docs.join(wanted, "uid").select("uid", "text", "wanted")
 
+    @frugal_batches
     def fetch(batches):
         for batch in batches:
             rows = []
@@ -231,6 +233,7 @@ def _compared(reps: DataFrame, width: int, lead: int) -> DataFrame:
 
     dealt = reps.mapInArrow(deal, f"{REP}, range int")
 
+    @frugal_frame
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         strings = [bytes(s) for s in frame["suffix"]]
         order, depth = multikey_sort(strings, width)
@@ -317,6 +320,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> Da
     spans = repeated_spans(own.select("uid", "text"), width, lead).groupBy("uid").agg(F.collect_set(F.struct("begin", "stop")).alias("spans"))
     joined = own.join(spans, "uid", "left").select("doc_id", "text", "spans")
 
+    @frugal_batches
     def cut(batches):
         for batch in batches:
             out = []
