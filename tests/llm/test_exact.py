@@ -343,3 +343,24 @@ def test_chains_keep_order_and_cut_at_gaps():
     order = np.lexsort((-y, x))
     found = passages.chains(x[order], y[order])
     assert sorted(tuple(int(x[order][i]) for i in c) for c in found) == [(0, 10, 20, 30), (300, 310, 320)]
+
+
+def removed(spark, rows):
+    return {r.doc_id: r for r in passages.without_passages(documents(spark, rows)).collect()}
+
+
+def test_shared_passages_with_other_text_between(spark):
+    rows, want = [], {}
+    for i, (words, gap) in enumerate([(60, 50), (60, 80), (60, 100), (100, 120), (100, 200), (200, 150), (200, 300)]):
+        one, two = prose(2000 + i, words, 10**6), prose(2100 + i, words, 10**6)
+        for j in range(2):
+            own = [prose(2200 + 10 * i + 5 * j + k, n, 10**6) for k, n in enumerate((30, gap, 30))]
+            rows.append((10 * i + j, f"{own[0]} {one} {own[1]} {two} {own[2]}"))
+        want[10 * i + 1] = " ".join(own), 2 * words
+    middle = prose(2300, 300, 10**6).split()
+    rows += [(100, " ".join(middle)), (101, " ".join([*middle[:100], *prose(2301, 100, 10**6).split(), *middle[200:]]))]
+    want[101] = prose(2301, 100, 10**6), 200
+    got = removed(spark, rows)
+    for i, (text, n) in want.items():
+        assert (got[i].text.split(), got[i].n_removed, got[i].n_spans) == (text.split(), n, 2)
+        assert got[i - 1].n_removed == 0 and got[i - 1].n_repeated == n
