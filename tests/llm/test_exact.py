@@ -364,3 +364,16 @@ def test_shared_passages_with_other_text_between(spark):
     for i, (text, n) in want.items():
         assert (got[i].text.split(), got[i].n_removed, got[i].n_spans) == (text.split(), n, 2)
         assert got[i - 1].n_removed == 0 and got[i - 1].n_repeated == n
+
+
+def test_a_passage_whose_parts_have_other_holders(spark):
+    rows = []
+    for i in range(6):
+        shared = prose(3000 + i, 70, 10**6).split()
+        part = {0: shared[:35], 1: shared[35:], 2: shared, 3: shared, 4: shared[:35], 5: shared[35:]}
+        for j, words in part.items():
+            rows.append((10 * i + j, f"{prose(3100 + 10 * i + j, 40, 10**6)} {' '.join(words)} {prose(3200 + 10 * i + j, 40, 10**6)}"))
+    got = removed(spark, rows)
+    for i in range(6):
+        assert [got[10 * i + j].n_removed for j in range(6)] == [0, 0, 0, 70, 0, 0]
+        assert [got[10 * i + j].n_repeated for j in range(6)] == [0, 0, 70, 70, 0, 0]
