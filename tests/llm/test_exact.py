@@ -377,3 +377,14 @@ def test_a_passage_whose_parts_have_other_holders(spark):
     for i in range(6):
         assert [got[10 * i + j].n_removed for j in range(6)] == [0, 0, 0, 70, 0, 0]
         assert [got[10 * i + j].n_repeated for j in range(6)] == [0, 0, 70, 70, 0, 0]
+
+
+def test_evenly_edited_passages(spark):
+    rows, every = [], (6, 7, 8, 10)
+    for i, (n, j) in enumerate((n, j) for n in every for j in range(25)):
+        passage = prose(4000 + i, 60, 10**6)
+        rows.append((2 * i, f"{prose(4200 + i, 40, 10**6)} {passage} {prose(4400 + i, 40, 10**6)}"))
+        rows.append((2 * i + 1, f"{prose(4600 + i, 50, 10**6)} {edited(passage, range(j % n, 60, n))} {prose(4800 + i, 30, 10**6)}"))
+    got = removed(spark, rows)
+    found = np.array([got[2 * i + 1].n_removed >= 45 for i in range(100)]).reshape(4, 25).mean(axis=1)
+    assert found[0] >= 0.8 and (found[1:] >= 0.95).all(), found
