@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -66,6 +68,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(names: Iterable[str], taken: Iterable[str]) -> list[str]:
+    """``names``, with underscores after those that are taken."""
+    held, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(doc_id) -> object:
     """Rows that no classifier may learn from: crc32(doc_id as text) mod 5 is 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0

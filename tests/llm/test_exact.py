@@ -313,6 +313,49 @@ def test_line_dedup(spark):
     assert lines.without_boilerplate(documents(spark, rows).limit(0)).count() == 0
 
 
+def brute_lines(rows):
+    """(doc_id, text, n_removed) by the rule as the docstring has it; rows are (doc_id, text, site)."""
+    own = lambda t: {x for x in (y.strip(" \t\r") for y in t.split("\n")) if len(x) >= 8}
+
+    def wide(some):
+        sites = {}
+        for _, t, s in some:
+            for x in own(t) if t is not None and s is not None else ():
+                sites.setdefault(x, set()).add(s)
+        return {x for x, s in sites.items() if len(s) >= 10}
+
+    first = wide(rows)
+    bad = wide([r for r in rows if r[1] is not None and 2 * sum(map(len, own(r[1]) & first)) <= sum(map(len, own(r[1])))])
+    out = []
+    for i, t, _ in rows:
+        stay = None if t is None else [x for x in t.split("\n") if x.strip(" \t\r") not in bad]
+        out.append((i, t if t is None else "\n".join(stay), 0 if t is None else len(t.split("\n")) - len(stay)))
+    return sorted(out, key=str)
+
+
+def test_line_dedup_of_short_pages_and_copies(spark):
+    line = "All rights reserved here."
+    rows = [(i, f"{prose(i, 30)}\n{line}", f"site{i % 15}") for i in range(30)]
+    rows += [(100 + i, f"{line}\nTiny {i}", f"site{i}") for i in range(15)]  # boilerplate by more than half, and no copies
+    rows += [(200 + i, f"{prose(77, 40)}\n{prose(78, 30)}\n{line}\n{'edit ' * 3 if i % 3 == 0 else ''}{i}", f"site{i}") for i in range(15)]  # near copies
+    rows += [(300 + i, prose(79, 50), f"site{i}") for i in range(12)]
+    rows += [(None, f"{line}\n{prose(80, 9)}", "site1"), (None, f"{prose(81, 9)}", "site1"), (400, f"{prose(82, 60_000)}\n{line}", "site2"), (401, None, None), (402, f"{line}\n{line}", "site3"), (402, f"{line}\n{line}", "site3")]
+    got = lines.without_boilerplate(documents(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text, r.n_removed) for r in got), key=str) == brute_lines(rows)
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert by[105].text == "Tiny 5" and by[305].n_removed == 0 and by[203].n_removed == 1
+
+
+def test_counts_leave_the_columns_of_the_caller(spark):
+    rows = documents(spark, [(i, f"{prose(i, 30)}\nAll rights reserved here.", f"site{i}") for i in range(12)])
+    for name in (*lines.COUNTS, *passages.COUNTS):
+        rows = rows.withColumn(name, F.lit(77))
+    for out, new in ((lines.without_boilerplate(rows), "n_removed_"), (passages.without_passages(rows), "n_words_")):
+        assert out.columns[: len(rows.columns)] == rows.columns
+        got = out.collect()
+        assert len(got) == 12 and all(r.n_removed == 77 and r.n_words == 77 and r[new] != 77 for r in got)
+
+
 # Passages
 
 
