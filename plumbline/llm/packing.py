@@ -2,9 +2,9 @@
 
 The plan is made on the histogram of piece lengths alone, which has no more entries
 than a sequence has tokens. A configuration linear program (how many sequences hold
-which lengths) is solved by multiplicative weights: lengths that lag behind get dearer,
-and a knapsack dynamic program prices the next configuration. The solution is rounded
-down, and what is left over is packed best-fit, longest first, into the room that
+which lengths) is solved by multiplicative weights: a length gets cheaper as it gets
+covered, and a knapsack dynamic program prices the next configuration. The solution is
+rounded down, and what is left over is packed best-fit, longest first, into the room that
 remains and into new sequences. Whole runs of equal sequences are handled as one, so the
 plan has a bounded size however many documents there are.
 """
@@ -16,7 +16,7 @@ import os
 import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from functools import lru_cache
 from unicodedata import is_normalized
 
@@ -31,8 +31,11 @@ from plumbline.llm.common import frugal_batches, table, written
 
 ROOM = 4_096
 END_ID = 1
-ROUNDS = 400
-EAGERNESS = 1.0
+ROUNDS = 1_000
+GAP = 0.002
+EAGERNESS = 0.2
+#: Lengths of a room over this or less are left to best fit, and so many classes of longer ones are told apart.
+SMALL, CLASSES = 16, 64
 CACHED = 400_000
 
 
@@ -148,91 +151,199 @@ def pieces(docs: DataFrame, path: str, room: int = ROOM) -> DataFrame:
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, room: int) -> dict[int, int]:
-    """The configuration of the highest total price: length to how often it is in."""
-    fits = np.searchsorted(lengths, np.arange(room + 1), side="right")
-    value, choice = np.zeros(room + 1), np.full(room + 1, -1)
-    for c in range(int(lengths[0]), room + 1):
-        total = value[c - lengths[: fits[c]]] + prices[: fits[c]]
-        j = int(total.argmax())
-        value[c], choice[c] = (total[j], j) if total[j] > value[c - 1] else (value[c - 1], -1)
-    out: dict[int, int] = {}
-    c = room
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            length = int(lengths[choice[c]])
-            out[length] = out.get(length, 0) + 1
-            c -= length
+def size_classes(histogram: dict[int, int], room: int) -> list[list[int]]:
+    """The lengths that the program deals with, in classes: each is as long as its longest at most.
+
+    Lengths of up to room // SMALL are left to best fit. With CLASSES lengths or fewer each is a
+    class of its own, else runs of neighbouring lengths with about equal numbers of pieces are.
+    """
+    large = sorted(x for x in histogram if x > room // SMALL)
+    if len(large) <= CLASSES:
+        return [[x] for x in large]
+    total, out, seen = sum(histogram[x] for x in large), [], 0
+    for x in large:
+        if not out or seen * CLASSES >= total * len(out):
+            out.append([])
+        out[-1].append(x)
+        seen += histogram[x]
+    return out
+
+
+def knapsack(lengths: list[int], prices: np.ndarray, room: int) -> np.ndarray:
+    """How often each length is in the configuration of the highest total price, by dynamic programming over the room.
+
+    ``bits`` copies of a length at a time, so a length takes as many passes as its number has digits.
+    """
+    value, taken = np.zeros(room + 1), []
+    for j, length in enumerate(lengths):
+        most = room // length
+        bits = 1
+        while most > 0:
+            n = min(bits, most)
+            most, bits = most - n, bits * 2
+            add = value[: room + 1 - n * length] + n * prices[j]
+            better = np.zeros(room + 1, bool)
+            better[n * length :] = add > value[n * length :] + 1e-15
+            value[n * length :] = np.maximum(value[n * length :], add)
+            taken.append((j, n, better))
+    out, c = np.zeros(len(lengths), np.int64), room
+    for j, n, better in reversed(taken):
+        if better[c]:
+            out[j] += n
+            c -= n * lengths[j]
     return out
 
 
-def configurations(histogram: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """A fractional solution of the configuration program: no length is used more than it is there."""
-    lengths = np.array(sorted(histogram))
-    asked = np.array([histogram[int(x)] for x in lengths], float)
-    left = asked.copy()
-    found: list[tuple[dict[int, int], float]] = []
-    for _ in range(min(rounds, len(lengths))):
-        open_ = np.flatnonzero(left >= 1)
-        if not len(open_):
+def configurations(lengths: list[int], asked: list[int], room: int, rounds: int = ROUNDS, gap: float = GAP) -> tuple[dict[tuple[int, ...], float], float]:
+    """(configurations with how many sequences each has, lower bound): a fractional solution of
+    the covering program, by multiplicative weights.
+
+    Every length has a weight, and its price is the weight over the number asked for. A round
+    takes the configuration that a knapsack finds dearest, by a step that covers its scarcest
+    length, and each length's weight falls by a factor for the share that got covered. Prices over
+    the value of the dearest configuration are a dual solution, so each round gives a bound; the
+    rounds end when the steps, scaled so that all lengths are covered, are within ``gap`` of it.
+    """
+    asked_ = np.array(asked, float)
+    weights = asked_ * lengths / (asked_ * lengths).sum()
+    covered, bound = np.zeros(len(lengths)), 0.0
+    steps: dict[tuple[int, ...], float] = {}
+    for i in range(rounds):
+        prices = weights / asked_
+        config = knapsack(lengths, prices, room)
+        bound = max(bound, weights.sum() / float(config @ prices))
+        share = config / asked_
+        step = 1 / share.max()
+        steps[key] = steps.get(key := tuple(config.tolist()), 0.0) + step
+        covered += step * share
+        weights *= (1 - EAGERNESS) ** (step * share)
+        weights /= weights.sum()
+        if i % 16 == 15 and covered.min() > 0 and sum(steps.values()) / covered.min() <= (1 + gap) * bound:
             break
-        weight = np.exp(EAGERNESS * (left[open_] / asked[open_]))
-        config = knapsack(lengths[open_], lengths[open_] * (1 + 0.02 * weight), room)
-        at = np.searchsorted(lengths, list(config))
-        often = np.minimum(np.array(list(config.values())), np.floor(left[at]))
-        times = float((left[at] / often).min())
-        left[at] -= times * often
-        found.append(({int(lengths[i]): int(n) for i, n in zip(at, often, strict=True)}, times))
-    return found
+    # Scaled to the mean cover: what falls short goes to best fit, and what is over is not there to be placed.
+    scale = len(lengths) / covered.sum()
+    return {c: n * scale for c, n in steps.items()}, bound
 
 
-def plan(histogram: dict[int, int], room: int = ROOM) -> list[tuple[dict[int, int], int]]:
-    """Groups of equal sequences: what one holds, and how many there are. Covers the histogram exactly."""
-    left = dict(histogram)
-    groups: list[tuple[dict[int, int], int]] = []
-    for config, times in configurations(histogram, room) if histogram else []:
-        n = min([int(times + 1e-9), *(left[x] // k for x, k in config.items())])
-        if n > 0:
-            groups.append((config, n))
-            for x, k in config.items():
-                left[x] -= n * k
-    # Best fit: the least room that still takes the length; a group splits where only a part is used.
-    rooms: list[tuple[int, int]] = []  # (room left, place in held)
-    held: list[tuple[dict[int, int], int]] = []
-
-    def add(config: dict[int, int], n: int) -> None:
-        held.append((config, n))
-        insort(rooms, (room - sum(x * k for x, k in config.items()), len(held) - 1))
+class Rooms:
+    """Groups of equal sequences by the room that is left; best fit takes the least that is enough."""
 
-    for config, n in groups:
-        add(config, n)
-    for length in sorted((x for x, n in left.items() if n), reverse=True):
-        n = left[length]
+    def __init__(self, room: int) -> None:
+        self.room = room
+        self.free: list[tuple[int, int]] = []  # (room left, place in held)
+        self.held: list[tuple[dict[int, int], int]] = []
+
+    def add(self, config: dict[int, int], n: int) -> None:
+        self.held.append((config, n))
+        insort(self.free, (self.room - sum(x * k for x, k in config.items()), len(self.held) - 1))
+
+    def place(self, length: int, n: int) -> None:
+        """Best fit of ``n`` pieces of a length; a group splits where only a part of it is used."""
         while n:
-            i = bisect_left(rooms, (length, -1))
-            if i == len(rooms):
-                each = room // length
+            i = bisect_left(self.free, (length, -1))
+            if i == len(self.free):
+                each = self.room // length
                 if n >= each:
-                    add({length: each}, n // each)
+                    self.add({length: each}, n // each)
                 if n % each:
-                    add({length: n % each}, 1)
-                break
-            free, at = rooms.pop(i)
-            config, many = held[at]
+                    self.add({length: n % each}, 1)
+                return
+            free, at = self.free.pop(i)
+            config, many = self.held[at]
             each = free // length
             used = min(many, n // each)
             if used:
-                add({**config, length: config.get(length, 0) + each}, used)
+                self.add({**config, length: config.get(length, 0) + each}, used)
             n, many = n - used * each, many - used
             if many and 0 < n < each:
-                add({**config, length: config.get(length, 0) + n}, 1)
+                self.add({**config, length: config.get(length, 0) + n}, 1)
                 n, many = 0, many - 1
-            held[at] = (config, many)
+            self.held[at] = (config, many)
             if many:
-                insort(rooms, (free, at))
-    return [held[at] for _, at in rooms if held[at][1]]
+                insort(self.free, (free, at))
+
+    def groups(self) -> list[tuple[dict[int, int], int]]:
+        return [self.held[at] for _, at in self.free if self.held[at][1]]
+
+
+def best_fit(histogram: dict[int, int], room: int, begun: Rooms | None = None) -> list[tuple[dict[int, int], int]]:
+    """Best fit, longest pieces first, into the sequences begun and into new ones."""
+    rooms = begun or Rooms(room)
+    for length in sorted((x for x, n in histogram.items() if n), reverse=True):
+        rooms.place(length, histogram[length])
+    return rooms.groups()
+
+
+class Stock:
+    """What is left of each length, and the lengths of which something is left, in order."""
+
+    def __init__(self, histogram: dict[int, int]) -> None:
+        self.left = {x: n for x, n in histogram.items() if n}
+        self.lengths = sorted(self.left)
+
+    def longest(self, limit: int, but: dict[int, int]) -> int:
+        """The longest length of up to ``limit`` of which more is left than ``but`` holds; 0 if there is none."""
+        i = bisect_right(self.lengths, limit) - 1
+        while i >= 0 and self.left[self.lengths[i]] <= but.get(self.lengths[i], 0):
+            i -= 1
+        return self.lengths[i] if i >= 0 else 0
+
+    def take(self, one: dict[int, int], most: int) -> int:
+        """Takes as many of ``one`` as there are, up to ``most``."""
+        n = min([most, *(self.left[x] // k for x, k in one.items())])
+        for x, k in one.items():
+            self.left[x] -= n * k
+            if not self.left[x]:
+                del self.left[x]
+                del self.lengths[bisect_left(self.lengths, x)]
+        return n
+
+
+def filled(classes: list[list[int]], config: tuple[int, ...], often: int, stock: Stock, room: int) -> list[tuple[dict[int, int], int]]:
+    """Up to ``often`` sequences of a configuration of classes, out of what is in stock.
+
+    Pieces of a class are shorter than it by something, so a sequence has its last piece, and
+    whatever more goes in, chosen by the room that is left.
+    """
+    slots = [j for j, k in reversed(list(enumerate(config))) for _ in range(k)]
+    out = []
+    while often:
+        one: dict[int, int] = {}
+        free = room
+        for j in slots[:-1]:
+            x = stock.longest(min(classes[j][-1], free), one)
+            if x < classes[j][0]:
+                return out  # the class has been used up by others
+            one[x] = one.get(x, 0) + 1
+            free -= x
+        while x := stock.longest(free, one):
+            one[x] = one.get(x, 0) + 1
+            free -= x
+        if not one:
+            break
+        n = stock.take(one, often)
+        out.append((one, n))
+        often -= n
+    return out
+
+
+def plan(histogram: dict[int, int], room: int = ROOM) -> list[tuple[dict[int, int], int]]:
+    """Groups of equal sequences: what one holds, and how many there are. Covers the histogram exactly.
+
+    The configuration program rounded down, with best fit of the rest; or best fit of everything,
+    should that take fewer sequences.
+    """
+    plain = best_fit(histogram, room)
+    classes = size_classes(histogram, room)
+    if not classes:
+        return plain
+    found, _ = configurations([c[-1] for c in classes], [sum(histogram[x] for x in c) for c in classes], room)
+    stock, rooms = Stock(histogram), Rooms(room)
+    for config, often in sorted(found.items(), key=lambda v: (-v[1], v[0])):
+        for one, n in filled(classes, config, int(often + 1e-9), stock, room):
+            rooms.add(one, n)
+    programmed = best_fit(stock.left, room, rooms)
+    return min(programmed, plain, key=lambda groups: sum(n for _, n in groups))
 
 
 def runs(groups: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
