@@ -4,29 +4,26 @@ Whether a byte goes depends on the strings of WIDTH bytes that start somewhere t
 Each such string contains a smallest LEAD-byte piece (by hash), so it is enough to hold
 the suffixes that start at those pieces: equal strings have them at equal places, and
 one suffix stands for a stretch of neighbouring strings. Suffixes whose lead is unique
-drop out, and equal stretches count as one with their number. What is left is dealt by
-sampled splitters into ranges of suffixes; each range sorts by multikey quicksort and
-compares the suffixes that share a lead, with what stands before them. Suffixes of a
-lead that goes on across a boundary are compared string by string in an aggregation.
+drop out, and equal stretches count as one with their number before they are dealt. What is
+left goes by sampled splitters into ranges of suffixes; each range sorts by multikey
+quicksort, and the bytes that neighbours in the order share, with those that stand before
+the leads in an order of their own, decide which strings start twice. Suffixes of a lead
+that may go on across a boundary are compared string by string in an aggregation.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import frugal_batches, frugal_frame, mix, table, texts, written
+from plumbline.llm.common import frugal_batches, mix, table, texts, written
 
 WIDTH = 400
 LEAD = 128
 SLICE = 1 << 21
 RANGE_ROWS = 32_768
-SPLITTERS = 16_384
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -126,37 +123,44 @@ def _stretches(docs: DataFrame, width: int, lead: int) -> DataFrame:
     return docs.select("uid", "text").mapInArrow(find, STRETCH)
 
 
-REP = "uid long, at long, lo int, hi int, alone boolean, suffix binary, before binary"
+SAME = ["lead", "head", "tail", "lo", "hi"]
+REP = "lead long, head long, tail long, lo int, hi int, twice boolean, suffix binary, before binary"
+REP_FIELDS = pa.schema([("lead", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("twice", pa.bool_()), ("suffix", pa.binary()), ("before", pa.binary())])
 
 
-def _fetched(docs: DataFrame, reps: DataFrame, lead: int) -> DataFrame:
-    """The bytes of each stretch: from the lead on, and before it."""
-    wanted = reps.groupBy("uid").agg(F.collect_list(F.struct("at", "lo", "hi", "alone")).alias("wanted"))
-    # Rows that are equal in id and text share a uid; none of their stretches is alone, so more copies change nothing.
+def _fetched(docs: DataFrame, classes: DataFrame, lead: int) -> DataFrame:
+    """The bytes of each class of equal stretches, from one that is in it: from the lead on, and before it."""
+    wanted = classes.select("one.uid", F.struct("one.at", *SAME, (F.col("n") > 1).alias("twice")).alias("w")).groupBy("uid").agg(F.collect_list("w").alias("wanted"))
     joined = docs.join(wanted, "uid").select("uid", "text", "wanted")
 
     @frugal_batches
     def fetch(batches):
+        done: set[int] = set()  # rows that are equal in id and text share a uid
         for batch in batches:
             rows = []
             for uid, text, wanted_ in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if uid in done:
+                    continue
+                done.add(uid)
                 raw = text.encode()
                 for w in wanted_:
-                    at = w["at"]
-                    rows.append({"uid": uid, **w, "suffix": raw[at : at + lead + w["hi"]], "before": raw[at - w["lo"] : at]})
+                    at = w.pop("at")
+                    rows.append({**w, "suffix": raw[at : at + lead + w["hi"]], "before": raw[at - w["lo"] : at]})
             for i in range(0, len(rows), 8_192):
-                yield pa.RecordBatch.from_pylist(rows[i : i + 8_192], pa.schema([("uid", pa.int64()), ("at", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("alone", pa.bool_()), ("suffix", pa.binary()), ("before", pa.binary())]))
+                yield pa.RecordBatch.from_pylist(rows[i : i + 8_192], REP_FIELDS)
 
     return joined.mapInArrow(fetch, REP)
 
 
 def multikey_sort(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, depth): strings by their bytes, and how many 8-byte keys each shares with the one before.
+    """(order, shared): strings by their first ``width`` bytes, and how many bytes each shares with the one before.
 
-    Runs that are equal so far are sorted by their next key, all of them at once.
+    Runs that are equal so far are sorted by their next 8-byte key, all of them at once. Strings
+    that are shorter count as padded with zeros.
     """
     keys = -(-width // 8)
-    flat = np.frombuffer(b"".join(s[:width].ljust(8 * keys, b"\0") for s in strings), ">u8").reshape(len(strings), keys)
+    raw = b"".join(s[:width].ljust(8 * keys, b"\0") for s in strings)
+    flat = np.frombuffer(raw, ">u8").reshape(len(strings), keys)
     order, depth = np.arange(len(strings)), np.full(len(strings), keys)
     run = np.zeros(len(strings), np.int64)  # equal numbers stand for one run
     open_ = np.arange(len(strings))  # places that are in a run of two or more
@@ -175,120 +179,115 @@ def multikey_sort(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndar
             depth[open_[~same_run]] = np.minimum(depth[open_[~same_run]], k)
         run[open_] = np.cumsum(~same) + int(run.max()) + 1
         open_ = open_[same | np.append(same[1:], False)]
-    return order, depth
-
-
-def _prefix_hashes(strings: list[bytes], width: int, backwards: bool) -> np.ndarray:
-    """Hashes of the first (last, if backwards) 0..width bytes of each string, a row for each; bytes that are missing count as one more letter."""
-    flat = np.zeros((len(strings), width), np.uint64)
-    for i, s in enumerate(strings):
-        own = np.frombuffer(s, np.uint8)
-        if backwards:
-            own = own[::-1]
-        flat[i, : min(len(own), width)] = own[:width]
-        flat[i, : min(len(own), width)] += np.uint64(1)
-    out = np.zeros((len(strings), width + 1), np.uint64)
-    np.cumsum(flat * _powers(BASE, width), axis=1, out=out[:, 1:], dtype=np.uint64)
-    return out
-
-
-def repeated_offsets(block: np.ndarray, lo: np.ndarray, hi: np.ndarray, after: list[bytes], before: list[bytes], often: np.ndarray, room: int):
-    """Yields (member, first offset, last offset): strings that begin that far before the lead and occur twice.
-
-    ``block`` numbers the leads; ``room`` is the width of a string less that of a lead.
+    # The key in which neighbours part tells the byte.
+    shared = 8 * depth
+    part = np.flatnonzero(depth < keys)[1:]
+    if len(part):
+        octets = np.frombuffer(raw, np.uint8).reshape(len(strings), keys, 8)
+        here, there = (octets[order[part - back], depth[part]] for back in (0, 1))
+        shared[part] += (here != there).argmax(axis=1)
+    if len(strings):
+        shared[0] = 0
+    return order, shared
+
+
+def repeated_offsets(shared: np.ndarray, before: list[bytes], lo: np.ndarray, hi: np.ndarray, twice: np.ndarray, width: int, lead: int):
+    """Yields (member, first offset, last offset): strings that begin that far before the lead and start twice.
+
+    Members come in the order of their suffixes, of which neighbours share ``shared`` bytes. Those
+    that share enough form a run; so do members whose bytes before the lead share enough, in the
+    order of those bytes read backwards. Two members have a string in common if they meet in
+    both.
     """
-    right, left = _prefix_hashes(after, room, False), _prefix_hashes(before, room, True)
-    hits = np.zeros((len(block), room + 1), bool)
-    seal = mix(block.astype(np.uint64) + np.uint64(1))
+    room = width - lead
+    n = len(lo)
+    back, back_shared = multikey_sort([x[::-1] for x in before], room)
+    place = np.empty(n, np.int64)
+    place[back] = np.arange(n)
+    hits = np.zeros((n, room + 1), bool)
     for o in range(room + 1):
         can = np.flatnonzero((lo >= o) & (hi >= room - o))
-        if len(can):
-            key = mix(mix(left[can, o] ^ seal[can]) + right[can, room - o])
-            _, which, count = np.unique(key, return_inverse=True, return_counts=True)
-            total = count if often is None else np.bincount(which, weights=often[can])
-            hits[can[total[which] > 1], o] = True
+        if not len(can):
+            continue
+        right = np.cumsum(shared < width - o)[can]
+        left = np.cumsum(back_shared < o)[place[can]] if o else np.zeros(len(can), np.int64)
+        _, which, count = np.unique(right * (n + 1) + left, return_inverse=True, return_counts=True)
+        hits[can, o] = (count[which] > 1) | twice[can]
     edge = np.diff(np.pad(hits, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     a, b = np.nonzero(edge == 1), np.nonzero(edge == -1)
     yield from zip(a[0].tolist(), a[1].tolist(), (b[1] - 1).tolist(), strict=True)
 
 
-SPAN = "uid long, begin long, stop long"
+FOUND = "lead long, head long, tail long, lo int, hi int, begin int, stop int, open boolean, twice boolean, suffix binary, before binary"
+FOUND_FIELDS = pa.schema([("lead", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("begin", pa.int32()), ("stop", pa.int32()), ("open", pa.bool_()), ("twice", pa.bool_()), ("suffix", pa.binary()), ("before", pa.binary())])
 
 
 def _compared(reps: DataFrame, width: int, lead: int) -> DataFrame:
-    """Spans (uid, begin, stop) of the repeated strings of stretches that are alone."""
-    room = width - lead
-    n = reps.count()
-    ranges = max(1, min(SPLITTERS // 8, -(-n // RANGE_ROWS)))
-    # A sample that is bounded by SPLITTERS, by hash.
-    share = min(1.0, 16 * ranges / max(1, n))
-    sample = reps.where(F.pmod(F.xxhash64("uid", "at"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("suffix").limit(SPLITTERS).collect()
-    drawn = sorted(bytes(r.suffix) for r in sample)
-    splitters = [drawn[i * len(drawn) // ranges] for i in range(1, ranges)] if drawn else []
-
-    def deal(batches):
-        for batch in batches:
-            at = [bisect_right(splitters, s) for s in batch.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], [*batch.schema.names, "range"])
-
-    dealt = reps.mapInArrow(deal, f"{REP}, range int")
-
-    @frugal_frame
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        strings = [bytes(s) for s in frame["suffix"]]
-        order, depth = multikey_sort(strings, width)
-        number = np.cumsum(depth < lead // 8) - 1  # of the lead, in order
-        here = int(frame["range"].iloc[0])
-        goes_on = np.zeros(number[-1] + 1, bool)  # the lead may have suffixes in another range
-        if here > 0:
-            goes_on[0] = splitters[here - 1][:lead] >= strings[order[0]][:lead]
-        if here < len(splitters):
-            goes_on[-1] |= splitters[here][:lead] <= strings[order[-1]][:lead]
-        frame = frame.iloc[order].reset_index(drop=True)
-        uid, at, lo, hi, alone = (frame[c].to_numpy() for c in ("uid", "at", "lo", "hi", "alone"))
-        before = [bytes(s) for s in frame["before"]]
-        strings = [strings[i] for i in order]
-        size = np.bincount(number)
-        local = np.flatnonzero((size[number] > 1) & ~goes_on[number])
-        rows = [(int(uid[i]), int(at[i]), int(lo[i]), int(hi[i]), bool(alone[i]), strings[i], before[i]) for i in np.flatnonzero(goes_on[number]).tolist()]
-        out = [(*r[:4], r[4], r[5], r[6], None, None) for r in rows]
+    """(class, begin, stop): the repeated strings of each class, counted from the lead on.
+
+    Spark samples splitters and deals the suffixes by ranges, suffixes that are equal by what stands
+    before them, so that no range grows with a common passage. A range sorts its own; the first
+    and the last lead in it may go on in a neighbour.
+    """
+    ranges = max(1, -(-reps.count() // RANGE_ROWS))
+
+    @frugal_batches
+    def compare(batches):
+        t = pa.Table.from_batches(list(batches), REP_FIELDS)
+        if not t.num_rows:
+            return
+        strings = t.column("suffix").to_pylist()
+        order, shared = multikey_sort(strings, width)
+        t = t.take(pa.array(order))
+        strings = t.column("suffix").to_pylist()
+        before = t.column("before").to_pylist()
+        lo, hi, twice = (t.column(c).to_numpy() for c in ("lo", "hi", "twice"))
+        number = np.cumsum(shared < lead) - 1  # of the lead, in order
+        goes_on = (number == 0) | (number == number[-1]) if ranges > 1 else np.zeros(len(number), bool)
+        local, rows = np.flatnonzero(~goes_on), []
+        names = {c: t.column(c).to_numpy() for c in ("lead", "head", "tail")}
+
+        def row(i, begin, stop, open_):
+            return {**{c: int(v[i]) for c, v in names.items()}, "lo": int(lo[i]), "hi": int(hi[i]), "begin": begin, "stop": stop, "open": open_, "twice": bool(twice[i]), "suffix": strings[i] if open_ else None, "before": before[i] if open_ else None}
+
         cut = 0
         while cut < len(local):
             end = min(cut + 12_288, len(local))
             while end < len(local) and number[local[end]] == number[local[end - 1]]:
                 end += 1
             part = local[cut:end]
-            often = np.where(alone[part], 1, 2)
-            for i, o1, o2 in repeated_offsets(number[part], lo[part], hi[part], [strings[j][lead:] for j in part], [before[j] for j in part], often, room):
-                j = part[i]
-                if alone[j]:
-                    out.append((int(uid[j]), 0, 0, 0, True, None, None, int(at[j]) - o2, int(at[j]) - o1 + width))
+            depth = shared[part].copy()
+            depth[0] = 0
+            for i, o1, o2 in repeated_offsets(depth, [before[j] for j in part], lo[part], hi[part], twice[part], width, lead):
+                rows.append(row(part[i], -o2, width - o1, False))
             cut = end
-        return pd.DataFrame(out, columns=["uid", "at", "lo", "hi", "alone", "suffix", "before", "begin", "stop"]).astype({"begin": "Int64", "stop": "Int64"})
+        rows += [row(i, None, None, True) for i in np.flatnonzero(goes_on).tolist()]
+        for i in range(0, len(rows), 4_096):
+            yield pa.RecordBatch.from_pylist(rows[i : i + 4_096], FOUND_FIELDS)
 
-    found = written(dealt.groupBy("range").applyInPandas(compare, f"{REP}, begin long, stop long"), "suffix-ranges")
-    spans = found.where(F.col("begin").isNotNull()).select("uid", "begin", "stop")
-    return spans.unionAll(_across(found.where(F.col("begin").isNull()), width, lead))
+    found = written(reps.repartitionByRange(ranges, "suffix", "before").mapInArrow(compare, FOUND), "suffix-ranges")
+    spans = found.where(~F.col("open")).select(*SAME, "begin", "stop")
+    return spans.unionAll(_across(found.where("open"), width, lead))
 
 
 def _across(open_: DataFrame, width: int, lead: int) -> DataFrame:
-    """The strings of leads that lie across a boundary, however many there are, counted one by one."""
+    """The strings of leads that may lie across a boundary, however many there are, counted one by one."""
 
     def strings(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 raw = np.frombuffer(row["before"] + row["suffix"], np.uint8)
                 starts = np.arange(len(raw) - width + 1)
-                rolling = Rolling(raw)
+                own = mix(Rolling(raw).at(starts, width)).view(np.int64)
                 n = len(starts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, row["uid"])), pa.array(starts + row["at"] - row["lo"]), pa.array(np.full(n, 1 if row["alone"] else 2)), pa.array(mix(rolling.at(starts, width)).view(np.int64))],
-                    ["uid", "begin", "often", "string"],
-                )
+                columns = [pa.array(np.full(n, row[c])) for c in ("lead", "head", "tail")]
+                columns += [pa.array(np.full(n, row[c], np.int32)) for c in ("lo", "hi")]
+                columns += [pa.array((starts - row["lo"]).astype(np.int32)), pa.array(np.full(n, 2 if row["twice"] else 1, np.int64)), pa.array(own)]
+                yield pa.RecordBatch.from_arrays(columns, [*SAME, "begin", "often", "string"])
 
-    each = open_.select("uid", "at", "lo", "alone", "suffix", "before").mapInArrow(strings, "uid long, begin long, often long, string long")
-    twice = each.groupBy("string").agg(F.sum("often").alias("total")).where(F.col("total") > 1).select("string")
-    return each.where(F.col("often") == 1).join(twice, "string").select("uid", "begin", (F.col("begin") + width).alias("stop"))
+    each = written(open_.select(*SAME, "twice", "suffix", "before").mapInArrow(strings, "lead long, head long, tail long, lo int, hi int, begin int, often long, string long"), "suffix-strings")
+    again = written(each.groupBy("string").agg(F.sum("often").alias("total")).where(F.col("total") > 1).select("string"), "suffix-twice")
+    return each.join(again, "string", "left_semi").select(*SAME, "begin", (F.col("begin") + width).alias("stop"))
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> DataFrame:
@@ -297,13 +296,10 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> Dat
     # Written, so that the join has an exchange of its own on either side and a common lead can be split.
     shared = written(every.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("lead"), "suffix-leads")
     some = written(every.join(shared, "lead", "left_semi").select(*STRETCH_NAMES), "suffix-stretches")
-    same = ["lead", "head", "tail", "lo", "hi"]
-    classes = written(some.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one")), "suffix-classes")
-    many = classes.where(F.col("n") > 1).select(*same)
-    whole = some.join(many, same, "left_semi").select("uid", (F.col("at") - F.col("lo")).alias("begin"), (F.col("at") + lead + F.col("hi")).alias("stop"))
-    mixed = classes.groupBy("lead").agg(F.count("*").alias("k"), F.min("n").alias("least")).where((F.col("k") > 1) & (F.col("least") == 1)).select("lead")
-    reps = classes.join(mixed, "lead", "left_semi").select("one.uid", "one.at", "lo", "hi", (F.col("n") == 1).alias("alone"))
-    return whole.unionAll(_compared(written(_fetched(docs, reps, lead), "suffix-texts"), width, lead))
+    classes = written(some.groupBy(*SAME).agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one")), "suffix-classes")
+    found = _compared(written(_fetched(docs, classes, lead), "suffix-texts"), width, lead)
+    spans = written(found.groupBy(*SAME).agg(F.collect_set(F.struct("begin", "stop")).alias("spans")), "suffix-spans")
+    return some.join(spans, SAME).select("uid", "at", F.explode("spans").alias("s")).select("uid", (F.col("at") + F.col("s.begin")).alias("begin"), (F.col("at") + F.col("s.stop")).alias("stop"))
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> DataFrame:
@@ -313,7 +309,8 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, lead: int = LEAD) -> Da
     same, overlaps included; strings never cross rows and are judged on the input. Spans are the
     maximal removed runs. A null text is empty; texts shorter than ``width`` keep all; repeated
     rows repeat each other's strings; rows without doc_id take part; an empty table gives no rows;
-    other columns are ignored. Equal strings are told by 64-bit hashes.
+    other columns are ignored. Strings are compared by their bytes; copies of a stretch, and strings
+    of leads at the boundary of a range, by 64-bit hashes.
     """
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("uid", F.xxhash64("doc_id", "text"))

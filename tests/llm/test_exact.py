@@ -318,15 +318,29 @@ def test_suffix_dedup(spark, byte_rows, monkeypatch, rows_a_range):
     assert have == brute_repeats(byte_rows, 60)
 
 
+def test_suffix_dedup_at_full_width(spark):
+    base = [prose(100 + i, 300) for i in range(5)]
+    r = random.Random(9)
+    rows = [(i, t) for i, t in enumerate(base)]
+    for i in range(30):
+        a, b = r.choice(base), r.choice(base)
+        x, y = r.randrange(600), r.randrange(600)
+        rows.append((100 + i, f"{prose(200 + i, 20)} {a[x : x + r.randrange(380, 900)]} {i} {b[y : y + r.randrange(380, 900)]}"))
+    rows += [(200 + i, prose(300, 200) + f" {i}") for i in range(12)] + [(300, "x" * 900), (301, prose(301, 30_000, 10**5)), (302, base[0][:399]), (303, base[0][:400]), (304, None), (None, base[1])]
+    got = suffixes.without_repeats(documents(spark, rows)).collect()
+    have = sorted(((r.doc_id, r.n_bytes, sum(s["stop"] - s["begin"] for s in r.spans), len(r.spans), bytes(r.kept)) for r in got), key=str)
+    assert have == brute_repeats(rows, 400)
+
+
 def test_multikey_sort():
     r = random.Random(6)
     strings = [bytes(r.choice(b"ab") for _ in range(r.randrange(16, 40))) for _ in range(400)]
-    order, depth = suffixes.multikey_sort(strings, 40)
+    order, shared = suffixes.multikey_sort(strings, 40)
     assert [strings[i] for i in order] == sorted(strings)
     padded = [strings[i].ljust(40, b"\0") for i in order]
     for i in range(1, len(order)):
-        same = next((k for k in range(5) if padded[i][8 * k : 8 * k + 8] != padded[i - 1][8 * k : 8 * k + 8]), 5)
-        assert depth[i] == same
+        assert shared[i] == next((k for k in range(40) if padded[i][k] != padded[i - 1][k]), 40)
+    assert suffixes.multikey_sort([], 40)[1].tolist() == [] and suffixes.multikey_sort([b"a", b"a"], 8)[1].tolist() == [0, 8]
 
 
 # Lines
