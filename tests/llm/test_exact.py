@@ -482,3 +482,90 @@ def test_evenly_edited_passages(spark):
     got = removed(spark, rows)
     found = np.array([got[2 * i + 1].n_removed >= 45 for i in range(100)]).reshape(4, 25).mean(axis=1)
     assert found[0] >= 0.8 and (found[1:] >= 0.95).all(), found
+
+
+def test_a_passage_that_many_documents_quote_bits_of(spark):
+    passage = prose(6000, 80, 10**6).split()
+    rows = [(100 + i, f"{prose(6100 + i, 40, 10**6)} {' '.join(passage)} {prose(6200 + i, 40, 10**6)}") for i in range(2)]
+    for i in range(34):  # some before the two, some after them
+        bit = " ".join(passage[2 * i : 2 * i + 14])
+        rows.append((12 + 6 * i, f"{prose(6300 + i, 30, 10**6)} {bit} {prose(6400 + i, 30, 10**6)}"))
+    got = removed(spark, rows)
+    assert (got[100].n_repeated, got[100].n_removed) == (80, 0) and (got[101].n_repeated, got[101].n_removed) == (80, 80)
+    assert all(got[i].n_repeated == 0 for i, _ in rows[2:])
+
+
+def test_a_passage_of_a_repeated_phrase(spark):
+    rows = []
+    for i, n in enumerate((6, 10, 15)):
+        phrase = " ".join([prose(7000 + i, n, 10**6)] * (120 // n))
+        rows += [(10 * i + j, f"{prose(7100 + 10 * i + j, 40, 10**6)} {phrase} {prose(7200 + 10 * i + j, 40, 10**6)}") for j in range(2)]
+    got = removed(spark, rows)
+    assert [got[10 * i + 1].n_removed for i in range(3)] == [120] * 3
+
+
+def local_alignment(a, b):
+    """The words of either side in the best local alignment, where a match is worth as much as LIKE makes of a miss."""
+    score = np.zeros((len(a) + 1, len(b) + 1))
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            score[i, j] = max(0, score[i - 1, j - 1] + (1 if x == y else -3), score[i - 1, j] - 3, score[i, j - 1] - 3)
+    i, j = np.unravel_index(score.argmax(), score.shape)
+    end, hits = (i, j), 0
+    while score[i, j] > 0:
+        same = a[i - 1] == b[j - 1]
+        if score[i, j] == score[i - 1, j - 1] + (1 if same else -3):
+            i, j, hits = i - 1, j - 1, hits + same
+        elif score[i, j] == score[i - 1, j] - 3:
+            i -= 1
+        else:
+            j -= 1
+    return range(i, end[0]), range(j, end[1]), hits
+
+
+def test_recall_of_passages_against_all_pairs(spark):
+    r = random.Random(12)
+    stock = [prose(8000 + i, 70, 10**5).split() for i in range(5)]
+    rows = []
+    for i in range(22):
+        parts = [prose(8100 + i, r.randrange(20, 50), 10**5)]
+        for one in r.sample(stock, 2):
+            if r.random() < 0.4:  # a bit that is no passage by itself
+                at = r.randrange(50)
+                parts.append(" ".join(one[at : at + r.randrange(8, 20)]))
+            else:
+                parts.append(" ".join(w if r.random() > 0.07 else f"edit{r.randrange(10**6)}" for w in one))
+            parts.append(prose(r.randrange(10**6), r.randrange(20, 40), 10**5))
+        rows.append((i, " ".join(parts)))
+    want, words = {i: set() for i, _ in rows}, {i: t.split() for i, t in rows}
+    for i in words:
+        for j in range(i):
+            x, y, hits = local_alignment(words[i], words[j])
+            if min(len(x), len(y)) >= passages.MIN_WORDS and hits >= passages.LIKE * max(len(x), len(y)):
+                want[i] |= set(x)
+                want[j] |= set(y)
+    got = removed(spark, rows)
+    found, there = sum(min(got[i].n_repeated, len(w)) for i, w in want.items()), sum(map(len, want.values()))
+    assert there > 1_000 and found >= 0.9 * there, (found, there)
+    assert sum(r.n_repeated for r in got.values()) <= 1.1 * there
+
+
+def test_common_is_the_longest_common_subsequence():
+    r = random.Random(3)
+    for _ in range(100):
+        a, b = ([r.randrange(6) for _ in range(r.randrange(90))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        assert passages.common(a, b) == row[-1]
+    assert passages.common(list(range(300)), [*range(150), -1, *range(150, 300)]) == 300
+
+
+def test_a_passage_across_slices_of_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(passages, "SLICE_BYTES", 500)
+    passage = prose(9000, 60, 10**6)
+    rows = [(1, f"{prose(9001, 4_000, 10**6)} {passage} {prose(9002, 4_000, 10**6)}"), (2, passage), (3, prose(9003, 100, 10**6))]
+    got = removed(spark, rows)
+    assert (got[1].n_repeated, got[2].n_removed, got[2].text, got[3].n_repeated) == (60, 60, "", 0)
