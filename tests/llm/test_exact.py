@@ -523,7 +523,10 @@ def local_alignment(a, b):
     return range(i, end[0]), range(j, end[1]), hits
 
 
-def test_recall_of_passages_against_all_pairs(spark):
+@pytest.mark.parametrize("often", [16, 2])
+def test_recall_of_passages_against_all_pairs(spark, monkeypatch, often):
+    for name, value in (("OFTEN", often), ("LOOKED_AT", 1 if often == 2 else 8), ("BUCKET_BYTES", 4_000)):
+        monkeypatch.setattr(passages, name, value)
     r = random.Random(12)
     stock = [prose(8000 + i, 70, 10**5).split() for i in range(5)]
     rows = []
@@ -563,9 +566,16 @@ def test_common_is_the_longest_common_subsequence():
     assert passages.common(list(range(300)), [*range(150), -1, *range(150, 300)]) == 300
 
 
-def test_a_passage_across_slices_of_a_long_text(spark, monkeypatch):
-    monkeypatch.setattr(passages, "SLICE_BYTES", 500)
+def test_slices_of_a_long_text_do_not_matter(spark, monkeypatch):
+    import pyarrow as pa
+
     passage = prose(9000, 60, 10**6)
-    rows = [(1, f"{prose(9001, 4_000, 10**6)} {passage} {prose(9002, 4_000, 10**6)}"), (2, passage), (3, prose(9003, 100, 10**6))]
-    got = removed(spark, rows)
-    assert (got[1].n_repeated, got[2].n_removed, got[2].text, got[3].n_repeated) == (60, 60, "", 0)
+    texts = [f"{prose(9001, 4_000, 10**6)} {passage} {prose(9002, 4_000, 10**6)}", passage, "few words", None, "", prose(9003, 100, 10**6)]
+    whole = list(passages.seeds(pa.array(texts), passages.WORDS, passages.WINDOW))
+    monkeypatch.setattr(passages, "SLICE_BYTES", 500)
+    cut = list(passages.seeds(pa.array(texts), passages.WORDS, passages.WINDOW))
+    assert all((x == y).all() for one, two in zip(whole, cut, strict=True) for x, y in zip(one, two, strict=True))
+    alone = list(passages.seeds(pa.array([passage]), passages.WORDS, passages.WINDOW))[0]
+    assert set(alone[0].tolist()) <= set(whole[0][0].tolist()) and (alone[2] != 0).any()
+    got = removed(spark, [(i, t) for i, t in enumerate(texts)])
+    assert (got[0].n_repeated, got[1].n_removed, got[1].text, got[5].n_repeated) == (60, 60, "", 0)
