@@ -11,6 +11,7 @@ are only probed by binary search (DivideSkip).
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from bisect import bisect_left, bisect_right
@@ -30,7 +31,8 @@ LIKE = (4, 5)
 BUCKET_BYTES = 8 << 20
 CHUNK = 2_000_000
 HOT = 65_536
-BLOCK = 4_096
+#: Sets of a task that searches a cluster, how often larger clusters are dealt into such tasks, and sets of a pair of blocks.
+BLOCK, TURNS, PAIRED = 128, 2, 1_024
 CODEC = pa.Codec("zstd", compression_level=1)
 
 
@@ -251,10 +253,13 @@ def _records(shared: DataFrame, like: tuple[int, int]) -> DataFrame:
 class Search:
     """T-occurrence search within a cluster; sets already connected are not compared again."""
 
-    def __init__(self, sizes: list[int], tokens: list[np.ndarray], like: tuple[int, int], side: list[int] | None = None) -> None:
+    def __init__(self, sizes: list[int], tokens: list[np.ndarray], like: tuple[int, int], known: np.ndarray | None = None) -> None:
         self.num, self.den = like
-        self.sizes, self.side = sizes, side
+        self.sizes = sizes
         self.root = np.arange(len(sizes))
+        if known is not None:  # equal labels are connected already
+            _, first, of = np.unique(known, return_index=True, return_inverse=True)
+            self.root = first[of]
         owner = np.repeat(np.arange(len(sizes)), [len(t) for t in tokens])
         flat = np.concatenate(tokens) if tokens else np.empty(0, np.uint64)
         order = np.lexsort((owner, flat))
@@ -349,8 +354,6 @@ class Search:
         return None
 
     def _alike(self, x: int, y: int, total: int, probes: list[tuple[list[int], int]]) -> bool:
-        if self.side is not None and self.side[x] == self.side[y]:
-            return False
         both = self.sizes[x] + self.sizes[y]
         for own, w in probes:
             at = bisect_right(own, y)
@@ -359,34 +362,69 @@ class Search:
         return (self.num + self.den) * total >= self.num * both
 
 
-def _found(members: DataFrame, like: tuple[int, int]) -> DataFrame:
-    """Links (a, b) within clusters. Clusters of more than BLOCK sets are searched in pairs of
-    blocks; a block holds sets of one class of sizes, and only classes that can be alike meet."""
-    ratio = math.log(like[1] / like[0]) * (1 + 1e-9)  # sets at the very limit stay in neighbouring classes
-    size_class = F.floor(F.log("n") / ratio).cast("int")
-    classed = members.withColumn("c", size_class)
-    counts = classed.groupBy("cluster", "c").agg(F.count("*").alias("m"))
-    whole = counts.groupBy("cluster").agg(F.sum("m").alias("total"))
-    small = classed.join(whole.where(F.col("total") <= BLOCK), "cluster").select("cluster", "node", "n", "tokens", F.lit("").alias("task"), F.lit(0).alias("side"))
-    # Half blocks by hash within a size class; each pair of half blocks that can be alike is a task.
-    blocks = counts.join(whole.where(F.col("total") > BLOCK), "cluster").select("cluster", "c", F.ceil(F.col("m") / (BLOCK // 2)).cast("int").alias("parts"))
-    blocks = blocks.select("cluster", "c", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
-    left = blocks.select("cluster", F.col("c").alias("c1"), F.col("p").alias("p1"))
-    right = blocks.select("cluster", F.col("c").alias("c2"), F.col("p").alias("p2"))
-    near = (F.col("c2") == F.col("c1")) & (F.col("p2") >= F.col("p1")) | (F.col("c2") == F.col("c1") + 1)
-    pairs = left.join(right, "cluster").where(near).withColumn("task", F.concat_ws(":", "c1", "p1", "c2", "p2"))
-    ends = pairs.select("cluster", F.col("c1").alias("c"), F.col("p1").alias("p"), "task").unionAll(pairs.select("cluster", F.col("c2").alias("c"), F.col("p2").alias("p"), "task")).distinct()
-    dealt = classed.join(blocks.select("cluster", "c", "parts").distinct(), ["cluster", "c"]).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    large = dealt.join(ends, ["cluster", "c", "p"]).select("cluster", "node", "n", "tokens", "task", F.lit(0).alias("side"))
+def _searched(dealt: DataFrame, like: tuple[int, int], *task: str) -> DataFrame:
+    """Links (a, b) within each task of (node, n, root, tokens); sets of one root are connected already."""
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n", "node"])
         nodes = frame["node"].to_numpy()
-        roots = Search(frame["n"].tolist(), [np.frombuffer(t, np.uint64) for t in frame["tokens"]], like).run()
-        at = np.flatnonzero(roots != np.arange(len(roots)))
+        found = Search(frame["n"].tolist(), [np.frombuffer(t, np.uint64) for t in frame["tokens"]], like, frame["root"].to_numpy())
+        known = found.root.copy()
+        roots = found.run()
+        at = np.flatnonzero((known == np.arange(len(nodes))) & (roots != known))
         return pd.DataFrame({"a": nodes[at], "b": nodes[roots[at]]}, dtype="int64")
 
-    return small.unionAll(large).groupBy("cluster", "task").applyInPandas(search, "a long, b long")
+    return dealt.select(*task, "node", "n", "root", "tokens").groupBy(*task).applyInPandas(search, "a long, b long")
+
+
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The sets, with the root that ``links`` give them, that share one of their rarest shingles with a set of another root: no other can have a link that is still to be found."""
+    rooted = members.drop("root").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = written(rooted, "shingle-roots")
+    rare = rooted.select("cluster", "node", "root", F.explode("rare").alias("token"))
+    apart = rare.groupBy("cluster", "token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("cluster", "token")
+    nodes = rare.join(written(apart, "shingle-apart"), ["cluster", "token"], "left_semi").select("node").distinct()
+    return written(rooted.join(nodes, "node", "left_semi"), "shingle-open")
+
+
+def _found(members: DataFrame, like: tuple[int, int]) -> DataFrame:
+    """Links (a, b) within clusters, which connect all sets that are alike.
+
+    Clusters of up to BLOCK sets are searched as they are. Larger ones are dealt by hash into
+    blocks, and the sets that may still have a link dealt anew, TURNS times in all; that leaves a
+    group of near copies with a root or two. What is open then is searched in pairs of blocks;
+    a block holds sets of one class of sizes, and only classes that can be alike meet.
+    """
+    members = members.withColumn("root", F.col("node"))
+    whole = members.groupBy("cluster").agg(F.count("*").alias("m"))
+    out = [_searched(members.join(whole.where(F.col("m") <= BLOCK), "cluster"), like, "cluster")]
+    rest = written(members.join(whole.where(F.col("m") > BLOCK), "cluster").drop("m"), "shingle-large")
+    links = []
+    for turn in range(TURNS):
+        if rest.isEmpty():
+            break
+        parts = rest.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        dealt = rest.join(parts, "cluster").withColumn("p", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts")).cast("int"))
+        links.append(written(_searched(dealt, like, "cluster", "p"), "shingle-links"))
+        rest = _open(rest, functools.reduce(DataFrame.unionAll, links))
+    if not rest.isEmpty():
+        links.append(_searched(_paired(rest, like), like, "cluster", "task"))
+    return functools.reduce(DataFrame.unionAll, out + links)
+
+
+def _paired(members: DataFrame, like: tuple[int, int]) -> DataFrame:
+    """The sets of large clusters, once for each ``task``: a pair of blocks of half a task's sets, of size classes that can be alike."""
+    ratio = math.log(like[1] / like[0]) * (1 + 1e-9)  # sets at the very limit stay in neighbouring classes
+    classed = members.withColumn("c", F.floor(F.log("n") / ratio).cast("int"))
+    blocks = classed.groupBy("cluster", "c").agg(F.ceil(F.count("*") / (PAIRED // 2)).cast("int").alias("parts"))
+    each = blocks.select("cluster", "c", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+    left = each.select("cluster", F.col("c").alias("c1"), F.col("p").alias("p1"))
+    right = each.select("cluster", F.col("c").alias("c2"), F.col("p").alias("p2"))
+    near = (F.col("c2") == F.col("c1")) & (F.col("p2") >= F.col("p1")) | (F.col("c2") == F.col("c1") + 1)
+    pairs = left.join(right, "cluster").where(near).withColumn("task", F.concat_ws(":", "c1", "p1", "c2", "p2"))
+    ends = pairs.select("cluster", F.col("c1").alias("c"), F.col("p1").alias("p"), "task").unionAll(pairs.select("cluster", F.col("c2").alias("c"), F.col("p2").alias("p"), "task")).distinct()
+    dealt = classed.join(blocks, ["cluster", "c"]).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    return dealt.join(ends, ["cluster", "c", "p"])
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, like: tuple[int, int] = LIKE) -> DataFrame:
@@ -420,7 +458,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, like: tuple[int, int] =
     roots = rare.groupBy("token").agg(F.min("node").alias("least"), F.count("*").alias("m")).where(F.col("m") > 1).select("token", "least")
     hyper = rare.join(roots, "token").where(F.col("node") != F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     clusters = components(hyper)
-    members = records.select(F.col("sid").alias("node"), "n", "tokens").join(clusters, "node").select("node", "n", "tokens", F.col("root").alias("cluster"))
+    members = records.select(F.col("sid").alias("node"), "n", "rare", "tokens").join(clusters, "node").withColumnRenamed("root", "cluster")
     linked = components(_found(written(members, "shingle-clusters"), like))
     of_set = nodes.join(linked, "node", "left").select("sid", "first", F.coalesce("root", "node").alias("root"))
     least = of_set.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -83,8 +83,11 @@ def test_ngram_join_matches_brute_force(spark, near_rows):
     assert sorted((tuple(r) for r in got), key=str) == brute_components(near_rows)
 
 
-def test_ngram_join_in_blocks_and_with_hot_shingles(spark, near_rows, monkeypatch):
+@pytest.mark.parametrize("turns", [0, 1, 2])
+def test_ngram_join_in_blocks_and_with_hot_shingles(spark, near_rows, monkeypatch, turns):
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "PAIRED", 6)
+    monkeypatch.setattr(ngram_join, "TURNS", turns)
     monkeypatch.setattr(ngram_join, "BUCKET_BYTES", 4_096)
     got = ngram_join.near_duplicates(documents(spark, near_rows)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_components(near_rows)
