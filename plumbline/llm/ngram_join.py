@@ -32,7 +32,7 @@ BUCKET_BYTES = 8 << 20
 CHUNK = 2_000_000
 HOT = 65_536
 #: Sets of a task that searches a cluster, how often larger clusters are dealt into such tasks, and sets of a pair of blocks.
-BLOCK, TURNS, PAIRED = 128, 2, 1_024
+BLOCK, TURNS, PAIRED = 128, 1, 256
 CODEC = pa.Codec("zstd", compression_level=1)
 
 
@@ -251,11 +251,11 @@ def _records(shared: DataFrame, like: tuple[int, int]) -> DataFrame:
 
 
 class Search:
-    """T-occurrence search within a cluster; sets already connected are not compared again."""
+    """T-occurrence search within a cluster; sets already connected are not compared again, nor any of one ``side``, if sides are told."""
 
-    def __init__(self, sizes: list[int], tokens: list[np.ndarray], like: tuple[int, int], known: np.ndarray | None = None) -> None:
+    def __init__(self, sizes: list[int], tokens: list[np.ndarray], like: tuple[int, int], known: np.ndarray | None = None, side: np.ndarray | None = None) -> None:
         self.num, self.den = like
-        self.sizes = sizes
+        self.sizes, self.side = sizes, side
         self.root = np.arange(len(sizes))
         if known is not None:  # equal labels are connected already
             _, first, of = np.unique(known, return_index=True, return_inverse=True)
@@ -270,13 +270,13 @@ class Search:
         marks = np.add.reduceat(seal, begins) if len(begins) else seal
         length = np.diff(np.append(begins, len(flat)))
         _, kept, weight = np.unique(np.rec.fromarrays([marks, length], names="m,l"), return_index=True, return_counts=True)
-        self.lists: list[list[int]] = []
+        self.lists: list[np.ndarray] = []
         self.weight: list[int] = []
         self.of: list[list[int]] = [[] for _ in sizes]
         for at, w in zip(kept.tolist(), weight.tolist(), strict=True):
             if length[at] > 1:
-                own = owner[begins[at] : begins[at] + length[at]].tolist()
-                for x in own:
+                own = owner[begins[at] : begins[at] + length[at]]
+                for x in own.tolist():
                     self.of[x].append(len(self.lists))
                 self.lists.append(own)
                 self.weight.append(w)
@@ -293,15 +293,15 @@ class Search:
 
     def _open(self, x: int, first: int) -> list[tuple[list[int], int]]:
         """(list, weight) of what is still to be seen: from ``first`` on, before x, not connected to it."""
-        out = []
+        out, apart = [], self.root != self.root[x]
+        if self.side is not None:
+            apart &= self.side != self.side[x]
         for c in self.of[x]:
             own = self.lists[c]
-            own = own[bisect_left(own, first) : bisect_left(own, x)]
-            if own:
-                seen = np.asarray(own)
-                own = seen[self.root[seen] != self.root[x]].tolist()
-                if own:
-                    out.append((own, self.weight[c]))
+            own = own[np.searchsorted(own, first) : np.searchsorted(own, x)]
+            own = own[apart[own]]
+            if len(own):
+                out.append((own.tolist(), self.weight[c]))
         return out
 
     def _link(self, x: int) -> None:
@@ -363,18 +363,18 @@ class Search:
 
 
 def _searched(dealt: DataFrame, like: tuple[int, int], *task: str) -> DataFrame:
-    """Links (a, b) within each task of (node, n, root, tokens); sets of one root are connected already."""
+    """Links (a, b) within each task of (node, n, root, side, tokens); sets of one root are connected already, and those of one of two sides meet elsewhere."""
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n", "node"])
         nodes = frame["node"].to_numpy()
-        found = Search(frame["n"].tolist(), [np.frombuffer(t, np.uint64) for t in frame["tokens"]], like, frame["root"].to_numpy())
+        found = Search(frame["n"].tolist(), [np.frombuffer(t, np.uint64) for t in frame["tokens"]], like, frame["root"].to_numpy(), frame["side"].to_numpy() if frame["side"].nunique() > 1 else None)
         known = found.root.copy()
         roots = found.run()
         at = np.flatnonzero((known == np.arange(len(nodes))) & (roots != known))
         return pd.DataFrame({"a": nodes[at], "b": nodes[roots[at]]}, dtype="int64")
 
-    return dealt.select(*task, "node", "n", "root", "tokens").groupBy(*task).applyInPandas(search, "a long, b long")
+    return dealt.select(*task, "node", "n", "root", "side", "tokens").groupBy(*task).applyInPandas(search, "a long, b long")
 
 
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -395,7 +395,7 @@ def _found(members: DataFrame, like: tuple[int, int]) -> DataFrame:
     group of near copies with a root or two. What is open then is searched in pairs of blocks;
     a block holds sets of one class of sizes, and only classes that can be alike meet.
     """
-    members = members.withColumn("root", F.col("node"))
+    members = members.withColumns({"root": F.col("node"), "side": F.lit(0)})
     whole = members.groupBy("cluster").agg(F.count("*").alias("m"))
     out = [_searched(members.join(whole.where(F.col("m") <= BLOCK), "cluster"), like, "cluster")]
     rest = written(members.join(whole.where(F.col("m") > BLOCK), "cluster").drop("m"), "shingle-large")
@@ -422,9 +422,11 @@ def _paired(members: DataFrame, like: tuple[int, int]) -> DataFrame:
     right = each.select("cluster", F.col("c").alias("c2"), F.col("p").alias("p2"))
     near = (F.col("c2") == F.col("c1")) & (F.col("p2") >= F.col("p1")) | (F.col("c2") == F.col("c1") + 1)
     pairs = left.join(right, "cluster").where(near).withColumn("task", F.concat_ws(":", "c1", "p1", "c2", "p2"))
-    ends = pairs.select("cluster", F.col("c1").alias("c"), F.col("p1").alias("p"), "task").unionAll(pairs.select("cluster", F.col("c2").alias("c"), F.col("p2").alias("p"), "task")).distinct()
+    ends = pairs.select("cluster", F.col("c1").alias("c"), F.col("p1").alias("p"), "task", F.lit(0).alias("side"))
+    # A block that meets itself is there once, and its sets are on one side.
+    ends = ends.unionAll(pairs.where((F.col("c1") != F.col("c2")) | (F.col("p1") != F.col("p2"))).select("cluster", F.col("c2").alias("c"), F.col("p2").alias("p"), "task", F.lit(1).alias("side")))
     dealt = classed.join(blocks, ["cluster", "c"]).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    return dealt.join(ends, ["cluster", "c", "p"])
+    return dealt.drop("side").join(ends, ["cluster", "c", "p"])
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, like: tuple[int, int] = LIKE) -> DataFrame:
