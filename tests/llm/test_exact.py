@@ -121,21 +121,35 @@ def vectors(spark, seed=0, n=230, d=6):
 
 
 def clean(rows, zero):
-    return {i: np.array(v) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and (zero or any(v))}
+    """(id, vector) of the rows that take part."""
+    return [(i, np.array(v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and (zero or any(v))]
 
 
-@pytest.mark.parametrize("block", [16_384, 64])
-def test_exact_top_k(spark, monkeypatch, block):
+def small_blocks(monkeypatch, block):
     monkeypatch.setattr("plumbline.llm.blocks.BLOCK_ROWS", block)
-    monkeypatch.setattr("plumbline.llm.topk.STEP", 16)
+    monkeypatch.setattr("plumbline.llm.blocks.QUERY_ROWS", block)
+
+
+@pytest.mark.parametrize("block", [16_384, 64, 3])
+def test_exact_top_k(spark, monkeypatch, block):
+    small_blocks(monkeypatch, block)
     rows, table = vectors(spark)
-    have = {i: np.floor(256 * v).astype(int) for i, v in clean(rows, True).items()}
+    have = [(i, np.floor(256 * v).astype(int)) for i, v in clean(rows, True)]
     want = []
-    for q in sorted(have):
+    for q, x in sorted({(i, tuple(v)) for i, v in have}):
         if q % 50 == 0:
-            best = sorted((-int(have[q] @ v), i) for i, v in have.items() if i != q)[:5]
+            best = sorted((-int(np.array(x) @ v), i) for i, v in have if i != q)[:5]
             want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
-    assert sorted(tuple(r) for r in topk.exact_top_k(table, F.col("vec_id") % 50 == 0, 5).collect()) == want
+    assert sorted(tuple(r) for r in topk.exact_top_k(table, F.col("vec_id") % 50 == 0, 5).collect()) == sorted(want)
+
+
+def test_top_k_of_numbers_that_are_large(spark):
+    big = spark.createDataFrame([(0, [2.0**20, 1.0]), (1, [2.0**20 + 0.25, 3.0]), (2, [2.0**20 + 0.25, 2.0])], "vec_id long, embedding array<double>")
+    x, y, z = (np.array(v, dtype=object) for v in ([2**28, 256], [2**28 + 64, 768], [2**28 + 64, 512]))
+    assert [tuple(r)[2:] for r in topk.exact_top_k(big, F.col("vec_id") == 0, 2).orderBy("rank").collect()] == [(1, int(x @ y)), (2, int(x @ z))]
+    huge = spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.exact_top_k(huge, F.col("vec_id") == 0, 1)
 
 
 def test_few_and_no_vectors(spark):
@@ -147,18 +161,31 @@ def test_few_and_no_vectors(spark):
 
 @pytest.mark.parametrize("block", [16_384, 64])
 def test_nearest_recall_and_scores(spark, monkeypatch, block):
-    monkeypatch.setattr("plumbline.llm.blocks.BLOCK_ROWS", block)
+    small_blocks(monkeypatch, block)
     rows, table = vectors(spark, 1, 900, 24)
     have = clean(rows, False)
+    vector = dict(have)
     got = ann.nearest(table, F.col("vec_id") % 20 == 0, 10).collect()
-    hit = 0
-    for q in [i for i in have if i % 20 == 0]:
-        best = sorted((float(np.sqrt(((have[q] - v) ** 2).sum())), i) for i, v in have.items() if i != q)[:10]
+    hit, asked = 0, [i for i in vector if i % 20 == 0]
+    for q in asked:
+        best = sorted((float(np.sqrt(((vector[q] - v) ** 2).sum())), i) for i, v in have if i != q)[:10]
         mine = [r for r in got if r.query_id == q]
         assert [r["rank"] for r in sorted(mine, key=lambda r: r["rank"])] == list(range(1, 11))
-        assert all(r.score == pytest.approx(np.sqrt(((have[q] - have[r.vec_id]) ** 2).sum())) for r in mine)
+        assert all(r.score == pytest.approx(min(np.sqrt(((vector[q] - v) ** 2).sum()) for i, v in have if i == r.vec_id)) for r in mine if r.vec_id != 3)
         hit += len({i for _, i in best} & {r.vec_id for r in mine})
-    assert hit >= 0.9 * 10 * len([i for i in have if i % 20 == 0])
+    assert hit >= 0.9 * 10 * len(asked)
+
+
+@pytest.mark.parametrize("block", [16_384, 8])
+def test_nearest_ties_go_to_the_smaller_id(spark, monkeypatch, block):
+    small_blocks(monkeypatch, block)
+    copies = [(i, [1.0, 2.0, 3.0]) for i in range(40, 0, -1)]
+    around = [(100 + i, [1.0, 2.0, 3.0 + s]) for i, s in enumerate((2.0, -2.0, 2.0, 4.0))]
+    table = spark.createDataFrame(copies + around, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest(table, F.col("vec_id") == 20, 5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 0.0) for i in (1, 2, 3, 4, 5)]
+    got = ann.nearest(table.where("vec_id = 7 or vec_id >= 100"), F.col("vec_id") == 7, 4).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(100, 2.0), (101, 2.0), (102, 2.0), (103, 4.0)]
 
 
 def test_chi_square_quantile():
