@@ -20,39 +20,52 @@ from plumbline.llm.common import FOLDS, held_out, table
 
 WIDTH = 1024
 SEED = 20_011
-LETTERS = 512
+#: Letters whose vectors a task holds at a time.
+LETTERS = 65_536
+MASK = (1 << 21) - 1
 SHARPNESS = 12.0
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def letter_vectors(width: int = WIDTH) -> np.ndarray:
-    """A vector for each letter code; the code of a letter is its code point modulo LETTERS, that of a gap between words 0."""
-    return np.random.default_rng(SEED).integers(0, 2, (LETTERS, width), np.int8) * np.int8(2) - np.int8(1)
+def letter_vector(letter: int, width: int = WIDTH) -> np.ndarray:
+    """The vector of a code point, drawn from a seed of its own; 0 stands for a gap between words."""
+    return np.random.default_rng([SEED, letter]).integers(0, 2, width, np.int8) * np.int8(2) - np.int8(1)
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trigrams of the letters of a whole text (words set off by gaps), and how often each occurs."""
+    """Distinct trigrams of the letters of a whole text (words set off by gaps), 21 bits a letter, and how often each occurs."""
     letters = NOT_LETTERS.sub(" ", text.lower()).strip()
     if not any(map(str.isalpha, letters)):  # number signs are no letters
         return np.empty(0, np.int64), np.empty(0, np.int64)
     codes = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32).astype(np.int64)
-    codes = np.where(codes == 32, 0, codes % (LETTERS - 1) + 1)
-    return np.unique((codes[:-2] * LETTERS + codes[1:-1]) * LETTERS + codes[2:], return_counts=True)
+    codes = np.where(codes == 32, 0, codes)
+    return np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_counts=True)
 
 
 class Space:
     """Binds letters into trigrams: permuted by two places, by one, and as they are."""
 
     def __init__(self, width: int = WIDTH) -> None:
-        self.plain = letter_vectors(width)
-        self.once = np.roll(self.plain, 1, axis=1)
-        self.twice = np.roll(self.plain, 2, axis=1)
+        self.width = width
+        self.place: dict[int, int] = {}  # of the letters known
+        self.known = np.empty((3, 0, width), np.int8)  # as they are, permuted by one, by two
+
+    def _places(self, letters: np.ndarray) -> np.ndarray:
+        if len(self.place) > LETTERS:  # vectors are drawn again when they are needed
+            self.place, self.known = {}, np.empty((3, 0, self.width), np.int8)
+        own, of = np.unique(letters, return_inverse=True)
+        if new := [x for x in own.tolist() if x not in self.place]:
+            drawn = np.array([letter_vector(x, self.width) for x in new])
+            self.place.update(zip(new, range(self.known.shape[1], self.known.shape[1] + len(new)), strict=True))
+            self.known = np.concatenate([self.known, [np.roll(drawn, i, axis=1) for i in range(3)]], axis=1)
+        return np.array([self.place[x] for x in own.tolist()], np.int64)[of]
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        total = np.zeros(self.plain.shape[1])
+        total = np.zeros(self.width)
         for at in range(0, len(codes), 4_096):
             c = codes[at : at + 4_096]
-            bound = self.twice[c // LETTERS**2] * self.once[c // LETTERS % LETTERS] * self.plain[c % LETTERS]
+            places = self._places(np.concatenate([c >> 42, c >> 21 & MASK, c & MASK])).reshape(3, len(c))
+            bound = self.known[2][places[0]] * self.known[1][places[1]] * self.known[0][places[2]]
             total += counts[at : at + 4_096].astype(np.float32) @ bound.astype(np.float32)
         return total
 
