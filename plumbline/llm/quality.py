@@ -18,8 +18,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from plumbline.llm.common import FOLDS, frugal_batches, held_out, table, written
+from plumbline.llm.common import FOLDS, free_names, frugal_batches, held_out, table, written
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -200,16 +201,26 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, as they are, whose text scores KEEP_FROM or more."""
-    model = fit(described(docs), labels)
-    at = docs.columns.index("text")
+    at, (name,) = docs.columns.index("text"), free_names(["x"], docs.columns)
+
+    @frugal_batches
+    def describe(batches):
+        for batch in batches:
+            x = [statistics(t or "") for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.list_(pa.float64()))], [*batch.schema.names, name])
+
+    schema = StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))])
+    rows = written(docs.mapInArrow(describe, schema), "quality-rows")
+    model = fit(rows.select(F.col("doc_id").cast("long"), F.coalesce(held_out(F.col("doc_id")), F.lit(True)).alias("held_out"), F.col(name).alias("x")), labels)
 
     @frugal_batches
     def keep(batches):
         for batch in batches:
-            x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(NAMES))
-            yield batch.filter(pa.array(model.score(x) >= KEEP_FROM))
+            x = np.array(batch.column(batch.num_columns - 1).to_pylist()).reshape(-1, len(NAMES))
+            some = batch.filter(pa.array(model.score(x) >= KEEP_FROM))
+            yield pa.RecordBatch.from_arrays(some.columns[:-1], some.schema.names[:-1])
 
-    return docs.mapInArrow(keep, docs.schema)
+    return rows.mapInArrow(keep, docs.schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Learned operators by held-out accuracy, and how they treat odd rows."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -47,6 +48,74 @@ def test_binding_tells_the_order_of_letters():
     assert abs(a @ b) < 0.3 * np.linalg.norm(a) * np.linalg.norm(b)
 
 
+def test_language_profiles_letter_by_letter(spark):
+    """Prototypes and cosines from the definition: rotate, multiply, add, letter by letter."""
+    words = {"en": "the cat and the dog", "de": "der hund und die katze", "zh": "猫和狗 在 家里", "ru": "кошка и собака дома"}
+    rows = [(i, f"{words[lang]} {words[lang].split()[i % 3]}", lang) for i, lang in enumerate(sorted(words) * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+
+    def profile(text):
+        letters = [ord(c) if c != " " else 0 for c in f" {' '.join(text.lower().split())} "]
+        total = np.zeros(language.WIDTH)
+        for a, b, c in zip(letters, letters[1:], letters[2:], strict=False):
+            x, y, z = (language.letter_vector(v).astype(float) for v in (a, b, c))
+            total += np.roll(x, 2) * np.roll(y, 1) * z
+        return total
+
+    own = {lang: sum(profile(t) for i, t, x in rows if x == lang and not language.is_held_out(i)) for lang in words}
+    unit = {k: v / np.linalg.norm(v) for k, v in own.items()}
+    shared = np.mean(list(unit.values()), axis=0)
+    unit = {k: (v - shared) / np.linalg.norm(v - shared) for k, v in unit.items()}
+    assert {k: v.tolist() for k, v in language.prototypes(docs).items()} == {k: pytest.approx(v.tolist(), abs=1e-9) for k, v in unit.items()}
+    for r in language.identify(docs).collect():
+        v = profile(rows[r.doc_id][1])
+        cosine = {k: float(u @ v / np.linalg.norm(v)) for k, u in unit.items()}
+        assert r.lang_pred == max(cosine, key=cosine.get) == rows[r.doc_id][2]
+        assert r.score == pytest.approx(1 / sum(np.exp(language.SHARPNESS * (c - cosine[r.lang_pred])) for c in cosine.values()))
+
+
+def test_language_ties_go_to_the_name_that_sorts_first(spark):
+    rows = [(2 * i + j, "same words for both", lang) for i in range(20) for j, lang in enumerate(("xx", "aa"))]
+    got = language.identify(spark.createDataFrame([*rows, (99, "other letters", None)], "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in got} == {"aa"}
+
+
+def test_letters_of_unlike_scripts_have_vectors_of_their_own():
+    assert all(abs(int(language.letter_vector(a).astype(int) @ language.letter_vector(b))) < 200 for a, b in ((97, 97 + 511), (97, 98), (0x4E00, 0x4E00 + 511)))
+
+
+def test_quality_weights_and_calibration_directly(spark):
+    """Kernel ridge by one solve over all rows, and the calibration by brute-force isotonic means."""
+    r = np.random.default_rng(3)
+    rows = [(i, prose(i, 30 + i % 50) if i % 3 else "of " * (30 + i % 40) + prose(i, 10)) for i in range(150)]
+    y = np.array([float((i % 3 > 0) != (r.random() < 0.1)) for i, _ in rows])
+    labels = spark.createDataFrame([(i, int(v)) for (i, _), v in zip(rows, y, strict=True)], "doc_id long, quality int")
+    model = quality.fit(quality.described(documents(spark, rows)), labels)
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i, _ in rows])
+    x = np.array([quality.statistics(t) for _, t in rows])
+    train = fold > 0
+    assert model.mean == pytest.approx(x[train].mean(0)) and model.scale == pytest.approx(np.where(x[train].std(0) > 1e-9, x[train].std(0), 1))
+    z = model.lift(x)
+    for out in range(5):
+        own = train & (fold != out)
+        a = z[own].T @ z[own] + quality.RIDGE * max(1.0, own.sum()) * np.eye(z.shape[1]) / 10
+        assert model.weights[:, out] == pytest.approx(np.linalg.solve(a, z[own].T @ y[own]), rel=1e-4, abs=1e-6)
+    # The lift approximates a Gaussian kernel.
+    s = np.clip((x - model.mean) / model.scale, -quality.CLIP, quality.CLIP)[:40]
+    kernel = np.exp(-((s[:, None] - s[None]) ** 2).sum(-1) / (2 * x.shape[1]))
+    assert np.abs(z[:40, :-1] @ z[:40, :-1].T - kernel).mean() < 0.06
+    # Isotonic regression: the level at a place is the largest, over where a run begins, of the least mean, over where it ends.
+    raw = np.array([z[i] @ model.weights[:, fold[i]] for i in np.flatnonzero(train)])
+    at = np.rint((np.clip(raw, -0.5, 1.5) + 0.5) / 2 * quality.BINS).astype(int)
+    bins = sorted(set(at.tolist()))
+    hits, seen = (np.array([f[at == b].sum() for b in bins]) for f in (y[train], np.ones(len(raw))))
+    want = [max(min(hits[j : k + 1].sum() / seen[j : k + 1].sum() for k in range(i, len(bins))) for j in range(i + 1)) for i in range(len(bins))]
+    place = np.array(bins) / quality.BINS * 2 - 0.5
+    got = np.array([model.levels[np.abs(model.levels - w).argmin()] for w in want])
+    assert got == pytest.approx(np.array(want)) and (np.diff(model.levels) > -1e-12).all()
+    assert np.interp(place[[0, -1]], model.knots, model.levels) == pytest.approx([want[0], want[-1]])
+
+
 def test_quality_held_out_accuracy(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     rows = quality.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()
