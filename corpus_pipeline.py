@@ -31,11 +31,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, that of the smallest doc_id; rows without doc_id stay."""
-    joined = ngram_join.near_duplicates(docs)
-    first = joined.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.select(*COLUMNS).unionAll(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
+    """Keeps one row of each group of near duplicates, that of the smallest doc_id; ids that are null come last. Rows equal in all columns are one."""
+    keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("key"))
+    joined = ngram_join.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), F.col("component_id").alias("component"))
+    ids = keyed.select("key", F.col("doc_id").isNull().alias("late"), "doc_id").distinct()
+    first = joined.distinct().join(ids, "key").groupBy("component").agg(F.min(F.struct("late", "doc_id", "key")).alias("first"))
+    return keyed.join(first.select("first.key"), "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
