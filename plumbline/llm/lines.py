@@ -34,11 +34,9 @@ def _key(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(u, site, h, g, chars, total) of the distinct lines of each text of (site, text): ``u`` tells the text, ``total`` is the length of all of them."""
-    long_ = F.filter(F.array_distinct(F.transform(F.split("text", "\n"), _trimmed)), lambda x: F.length(x) >= min_chars)
-    own = docs.where(F.col("text").isNotNull()).select("site", F.xxhash64("text").alias("u"), long_.alias("own"))
-    total = F.aggregate("own", F.lit(0).cast("long"), lambda t, x: t + F.length(x))
-    rows = own.select("u", "site", total.alias("total"), F.explode("own").alias("line"))
+    """(u, site, h, g, chars, total) of the lines of each text of (site, text): ``u`` tells the text, ``total`` is its length."""
+    own = docs.where(F.col("text").isNotNull()).select("site", F.xxhash64("text").alias("u"), F.length("text").alias("total"), F.explode(F.split("text", "\n")).alias("line"))
+    rows = own.select("u", "site", "total", _trimmed(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
     return rows.select("u", "site", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), F.length("line").alias("chars"), "total")
 
 
@@ -69,7 +67,8 @@ def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int =
 
     Lines end at line feeds and are compared without blanks around them; shorter ones than
     ``min_chars`` are never boilerplate. A line is boilerplate if ``min_sites`` distinct sites
-    carry it in texts of which such lines are no more than WITNESS_SHARE; so a copied document
+    carry it in texts of whose characters the distinct lines on that many sites are no more than
+    WITNESS_SHARE; so a copied document
     does not make its own lines boilerplate, while pages with much boilerplate lose it like
     others. A null text stays null and has no lines; rows without a site add none to a line's
     spread; rows may repeat, and their sites count once; rows without doc_id are cleaned like
@@ -110,10 +109,9 @@ SQL_STEP = """
 ), {out}_a AS MATERIALIZED (
   SELECT line FROM {out}_l GROUP BY 1 HAVING count(DISTINCT source) >= 10
 ), {out}_t AS MATERIALIZED (
-  SELECT text, sum(length(line)) AS total, coalesce(sum(length(line)) FILTER (line IN (FROM {out}_a)), 0) AS covered
-  FROM (SELECT DISTINCT text, line FROM {out}_l) GROUP BY 1
+  SELECT text, coalesce(sum(length(line)) FILTER (line IN (FROM {out}_a)), 0) AS covered FROM (SELECT DISTINCT text, line FROM {out}_l) GROUP BY 1
 ), {out}_b AS MATERIALIZED (
-  SELECT line FROM {out}_l WHERE line IN (FROM {out}_a) AND text IN (SELECT text FROM {out}_t WHERE covered <= 0.5 * total)
+  SELECT line FROM {out}_l WHERE line IN (FROM {out}_a) AND text IN (SELECT text FROM {out}_t WHERE covered <= 0.5 * length(text))
   GROUP BY 1 HAVING count(DISTINCT source) >= 10
 ), {out}_c AS MATERIALIZED (
   SELECT *, string_split(text, chr(10)) AS lines,

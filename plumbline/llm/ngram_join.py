@@ -390,15 +390,14 @@ def _open(members: DataFrame, links: DataFrame) -> DataFrame:
 def _found(members: DataFrame, like: tuple[int, int]) -> DataFrame:
     """Links (a, b) within clusters, which connect all sets that are alike.
 
-    Clusters of up to BLOCK sets are searched as they are. Larger ones are dealt by hash into
+    Clusters of up to BLOCK sets are searched as they are. Those that are ``large`` are dealt by hash into
     blocks, and the sets that may still have a link dealt anew, TURNS times in all; that leaves a
     group of near copies with a root or two. What is open then is searched in pairs of blocks;
     a block holds sets of one class of sizes, and only classes that can be alike meet.
     """
     members = members.withColumns({"root": F.col("node"), "side": F.lit(0)})
-    whole = members.groupBy("cluster").agg(F.count("*").alias("m"))
-    out = [_searched(members.join(whole.where(F.col("m") <= BLOCK), "cluster"), like, "cluster")]
-    rest = written(members.join(whole.where(F.col("m") > BLOCK), "cluster").drop("m"), "shingle-large")
+    out = [_searched(members.where(~F.col("large")), like, "cluster")]
+    rest = members.where("large")
     links = []
     for turn in range(TURNS):
         if rest.isEmpty():
@@ -459,8 +458,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, like: tuple[int, int] =
     rare = records.select(F.col("sid").alias("node"), F.explode("rare").alias("token"))
     roots = rare.groupBy("token").agg(F.min("node").alias("least"), F.count("*").alias("m")).where(F.col("m") > 1).select("token", "least")
     hyper = rare.join(roots, "token").where(F.col("node") != F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    clusters = components(hyper)
-    members = records.select(F.col("sid").alias("node"), "n", "rare", "tokens").join(clusters, "node").withColumnRenamed("root", "cluster")
+    clusters = written(components(hyper), "shingle-roots")
+    # Written, so that its few rows are known to be few: no more than one for BLOCK sets.
+    large = written(clusters.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("root", F.lit(True).alias("large")), "shingle-large")
+    clusters = clusters.join(large, "root", "left").select("node", F.col("root").alias("cluster"), F.coalesce("large", F.lit(False)).alias("large"))
+    members = records.select(F.col("sid").alias("node"), "n", "rare", "tokens").join(clusters, "node")
     linked = components(_found(written(members, "shingle-clusters"), like))
     of_set = nodes.join(linked, "node", "left").select("sid", "first", F.coalesce("root", "node").alias("root"))
     least = of_set.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -406,7 +406,7 @@ def brute_lines(rows):
         return {x for x, s in sites.items() if len(s) >= 10}
 
     first = wide(rows)
-    bad = wide([r for r in rows if r[1] is not None and 2 * sum(map(len, own(r[1]) & first)) <= sum(map(len, own(r[1])))])
+    bad = wide([r for r in rows if r[1] is not None and 2 * sum(map(len, own(r[1]) & first)) <= len(r[1])])
     out = []
     for i, t, _ in rows:
         stay = None if t is None else [x for x in t.split("\n") if x.strip(" \t\r") not in bad]
