@@ -80,7 +80,8 @@ def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int =
     text = F.col("row.text").cast("string")
     own = written(lines_of(rows.select(F.col("row").getField(site).cast("string").alias("site"), text.alias("text")), min_chars), "lines")
     hit = boilerplate(own, min_sites).groupBy("u").agg(F.collect_set(F.struct(*KEY)).alias("hit"))
-    joined = rows.withColumn("t", F.xxhash64(text)).join(written(hit, "line-texts"), F.col("t") == F.col("u"), "left").select("row", "hit")
+    # The texts with boilerplate grow with the input, so they are never broadcast.
+    joined = rows.withColumn("t", F.xxhash64(text)).join(written(hit, "line-texts").hint("merge"), F.col("t") == F.col("u"), "left").select("row", "hit")
     lines = F.split(text, "\n")
     is_hit = lambda x: (F.length(_trimmed(x)) >= min_chars) & F.array_contains("hit", _key(_trimmed(x)))
     kept = F.when(F.col("hit").isNotNull(), F.filter(lines, lambda x: ~F.coalesce(is_hit(x), F.lit(False))))
