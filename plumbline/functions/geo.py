@@ -47,6 +47,12 @@ def centre_lng(west: Column, east: Column) -> Column:
     return F.when(west <= east, (west + east) / 2).otherwise(F.when(across > 180, across - 360).otherwise(across))
 
 
+def turn_between(one: Column, other: Column) -> Column:
+    """Degrees from one longitude to another, the short way round."""
+    by = other - one
+    return F.when(by > 180, by - 360).when(by < -180, by + 360).otherwise(by)
+
+
 def wrap_lng(lng: Column) -> Column:
     return F.when(lng.between(-180, 180), lng).otherwise(F.pmod(lng + 180, F.lit(360.0)) - 180)
 

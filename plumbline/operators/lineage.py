@@ -4,7 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where all runs on one host."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return at or tempfile.mkdtemp(prefix="plumbline-")
 
 
 def cut(rows: DataFrame) -> DataFrame:
@@ -12,5 +20,5 @@ def cut(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
+        context.setCheckpointDir(shared_folder(spark))
     return rows.checkpoint()

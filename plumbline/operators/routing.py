@@ -11,7 +11,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.geo import distance
+from plumbline.functions.geo import DEGREE_METRES, distance, turn_between
 from plumbline.operators.lineage import cut
 
 # The least dimension limits that let a car pass, by rule type.
@@ -79,6 +79,35 @@ def landmark_bounds(pairs: DataFrame, costs: DataFrame) -> DataFrame:
     return both.groupBy("origin", "target").agg(F.max(one).cast("long").alias("bound"))
 
 
+def directed(edges: DataFrame, pairs: DataFrame, costs: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+    """(source, target, cost) of the cheapest way of each pair (source, target), by a search that landmarks bound.
+
+    ``costs`` is what ``landmark_costs`` gives. Each round relaxes the nodes that got cheaper in
+    the last one, but those whose cost and lower bound to the target come to more than the best
+    way known, and those from which a landmark shows that the target cannot be reached.
+    """
+    arcs = edges.groupBy("start_node", "end_node").agg(F.min("cost").alias("step"))
+    targets = pairs.select("target").distinct()
+    ends = targets.join(costs, targets["target"] == costs["node"]).select("landmark", "target", F.col("ahead").alias("t_ahead"), F.col("back").alias("t_back"))
+    one = F.greatest(F.lit(0), F.col("t_ahead") - F.col("ahead"), F.col("back") - F.col("t_back"))
+    # Whatever a landmark reaches from the node's side only, or reaches it from the target's only, has no way to the target.
+    never = F.max((F.col("ahead").isNotNull() & F.col("t_ahead").isNull()) | (F.col("back").isNull() & F.col("t_back").isNotNull()))
+    bounds = cut(costs.join(ends, "landmark").groupBy("node", "target").agg(F.max(one).cast("long").alias("bound"), never.alias("never")))
+    best = cut(pairs.select("source", "target", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost")))
+    frontier = best
+    for _ in range(max_rounds):
+        known = best.where(F.col("node") == F.col("target")).select("source", "target", F.col("cost").alias("held"))
+        reached = frontier.join(arcs, frontier["node"] == arcs["start_node"]).groupBy("source", "target", F.col("end_node").alias("node")).agg(F.min(F.col("cost") + F.col("step")).alias("new"))
+        better = reached.join(best, ["source", "target", "node"], "left").where(F.col("cost").isNull() | (F.col("new") < F.col("cost"))).select("source", "target", "node", F.col("new").alias("cost"))
+        may = better.join(bounds, ["node", "target"], "left").join(known, ["source", "target"], "left")
+        may = may.where(~F.coalesce("never", F.lit(False)) & (F.col("held").isNull() | (F.col("cost") + F.coalesce("bound", F.lit(0)) <= F.col("held"))))
+        frontier = cut(may.select("source", "target", "node", "cost"))
+        if frontier.isEmpty():
+            return known.select("source", "target", F.col("held").alias("cost"))
+        best = cut(best.unionAll(frontier).groupBy("source", "target", "node").agg(F.min("cost").alias("cost")))
+    raise ValueError(f"no end after {max_rounds} rounds")
+
+
 def transitions(edges: DataFrame, banned: DataFrame) -> DataFrame:
     """(edge_id, next_edge, step): pairs of edges that may follow each other. No way straight back, and no banned (edge_id, next_edge)."""
     a = edges.select("edge_id", F.col("start_node").alias("from_node"), F.col("end_node").alias("via"))
@@ -115,11 +144,11 @@ def paths(edges: DataFrame, best: DataFrame, targets: DataFrame, max_rounds: int
     for _ in range(max_rounds):
         found = cut(here.join(back, ["source", "node"]).select("source", "target", "step", "edge_id", "before"))
         if found.isEmpty():
-            break
+            return out if out is not None else edges.sparkSession.createDataFrame([], "source long, target long, step int, edge_id long")
         steps = found.select("source", "target", "step", "edge_id")
         out = steps if out is None else out.unionAll(steps)
         here = found.where(F.col("before") != F.col("source")).select("source", "target", F.col("before").alias("node"), (F.col("step") + 1).alias("step"))
-    return out if out is not None else edges.sparkSession.createDataFrame([], "source long, target long, step int, edge_id long")
+    raise ValueError(f"ways are longer than {max_rounds} edges")
 
 
 def verified_paths(steps: DataFrame, edges: DataFrame, best: DataFrame) -> DataFrame:
@@ -133,39 +162,41 @@ def verified_paths(steps: DataFrame, edges: DataFrame, best: DataFrame) -> DataF
 
 
 def snapped(points: DataFrame, edges: DataFrame, nodes: DataFrame, metres: float = 100.0) -> DataFrame:
-    """(query_id, edge_id, metres): the nearest eligible edge of (query_id, lat, lng), ties by id.
+    """(query_id, edge_id, metres): the nearest edge of (query_id, lat, lng) within reach, ties by id.
 
-    Edges go into every cell of a hundredth of a degree that they cross, points into their own
-    cell and those around it; the distance is that to the segment in the plane at the point.
+    Cells of the grid are twice the reach wide. Edges go into every cell that they cross, points
+    into those that their circle meets; both wrap at the antimeridian, over which edges go the
+    short way. The distance is that to the segment in the plane at the point. Which edges a point
+    may snap to is the caller's choice (``staging.snap_eligible``).
     """
     at = lambda end: nodes.select(F.col("node_id").alias(f"{end}_node"), F.col("lat").alias(f"{end}_lat"), F.col("lng").alias(f"{end}_lng"))
-    own = edges.join(at("start"), "start_node").join(at("end"), "end_node")
-    cell = lambda c: F.floor(c * 100).cast("long")
-    y1, y2, x1, x2 = (F.col(c) for c in ("start_lat", "end_lat", "start_lng", "end_lng"))
-
-    def crossed(row):
-        """Cells of a row of the grid that the segment goes through."""
-        low, high = F.greatest(F.least(y1, y2), row / 100.0), F.least(F.greatest(y1, y2), (row + 1) / 100.0)
-        x = lambda y: F.when(y1 == y2, x1).otherwise(x1 + (x2 - x1) * (y - y1) / F.when(y1 != y2, y2 - y1))
-        a, b = x(low), F.when(y1 == y2, x2).otherwise(x(high))
-        return F.transform(F.sequence(cell(F.least(a, b)), cell(F.greatest(a, b))), lambda c: F.struct(row.alias("cy"), c.alias("cx")))
-
-    rows = F.sequence(cell(F.least(y1, y2)), cell(F.greatest(y1, y2)))
-    own = own.select("*", F.explode(F.flatten(F.transform(rows, crossed))).alias("c")).select("*", "c.cy", "c.cx").drop("c")
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    asked = points.select("*", F.explode(near).alias("dy")).select("*", F.explode(near).alias("dx")).select("query_id", "lat", "lng", (cell(F.col("lat")) + F.col("dy")).alias("cy"), (cell(F.col("lng")) + F.col("dx")).alias("cx"))
+    # Edges of the same ends are one segment, of which the smallest id counts.
+    own = edges.groupBy("start_node", "end_node").agg(F.min("edge_id").alias("edge_id")).join(at("start"), "start_node").join(at("end"), "end_node")
+    own = own.select("edge_id", F.col("start_lat").alias("y1"), F.col("start_lng").alias("x1"), F.col("end_lat").alias("y2"), (F.col("start_lng") + turn_between(F.col("start_lng"), F.col("end_lng"))).alias("x2"))
+    up = metres / DEGREE_METRES * 1.001
+    size = max(int(0.5 / up), 1)  # cells to a degree
+    cell = lambda c: F.floor(c * size).cast("long")
+    wrapped = lambda c: F.pmod(c, F.lit(360 * size))
+    y1, y2, x1, x2 = (F.col(c) for c in ("y1", "y2", "x1", "x2"))
+    rows = own.select("*", F.explode(F.sequence(cell(F.least(y1, y2)), cell(F.greatest(y1, y2)))).alias("cy"))
+    low, high = F.greatest(F.least(y1, y2), F.col("cy") / size), F.least(F.greatest(y1, y2), (F.col("cy") + 1) / size)
+    x = lambda y, flat: F.when(y1 == y2, flat).otherwise(x1 + (x2 - x1) * (y - y1) / F.when(y1 != y2, y2 - y1))
+    own = rows.select("*", x(low, x1).alias("a"), x(high, x2).alias("b"))
+    own = own.select("edge_id", "y1", "x1", "y2", "x2", "cy", F.explode(F.sequence(cell(F.least("a", "b")), cell(F.greatest("a", "b")))).alias("cx")).withColumn("cx", wrapped(F.col("cx")))
+    wide = F.least(F.lit(180.0), up / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + up, F.lit(90.0)))), F.lit(1e-9)))
+    asked = points.select("query_id", "lat", "lng", F.explode(F.sequence(cell(F.col("lat") - up), cell(F.col("lat") + up))).alias("cy"), wide.alias("wide"))
+    asked = asked.select("query_id", "lat", "lng", "cy", F.explode(F.sequence(cell(F.col("lng") - F.col("wide")), cell(F.col("lng") + F.col("wide")))).alias("cx")).withColumn("cx", wrapped(F.col("cx"))).distinct()
     hits = asked.join(own, ["cy", "cx"])
     shrink = F.cos(F.radians("lat"))
-    ax, ay = (F.col("start_lng") - F.col("lng")) * shrink, F.col("start_lat") - F.col("lat")
-    bx, by = (F.col("end_lng") - F.col("lng")) * shrink, F.col("end_lat") - F.col("lat")
-    dx, dy = bx - ax, by - ay
+    ax, ay = turn_between(F.col("lng"), x1) * shrink, y1 - F.col("lat")
+    dx, dy = (x2 - x1) * shrink, y2 - y1
     along = F.when((dx == 0) & (dy == 0), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(ax * dx + ay * dy) / (dx * dx + dy * dy))))
-    hits = hits.withColumn("t", along)
-    to_lat = F.col("start_lat") + (F.col("end_lat") - F.col("start_lat")) * F.col("t")
-    to_lng = F.col("start_lng") + (F.col("end_lng") - F.col("start_lng")) * F.col("t")
-    hits = hits.withColumn("metres", F.round(distance(F.col("lat"), F.col("lng"), to_lat, to_lng), 3)).where(F.col("metres") <= metres)
-    w = Window.partitionBy("query_id").orderBy("metres", "edge_id")
-    return hits.withColumn("at", F.row_number().over(w)).where("at = 1").select("query_id", "edge_id", "metres")
+    hits = hits.withColumns({"t": along, "ax": ax, "ay": ay, "dx": dx, "dy": dy})
+    # In the plane first, with some room, as the sphere's distance costs more.
+    hits = hits.where(F.pow(F.col("ax") + F.col("t") * F.col("dx"), 2) + F.pow(F.col("ay") + F.col("t") * F.col("dy"), 2) <= (1.1 * up) ** 2)
+    hits = hits.withColumn("metres", F.round(distance(F.col("lat"), F.col("lng"), y1 + (y2 - y1) * F.col("t"), x1 + (x2 - x1) * F.col("t")), 3)).where(F.col("metres") <= metres)
+    best = hits.groupBy("query_id").agg(F.min(F.struct("metres", "edge_id")).alias("best"))
+    return best.select("query_id", "best.edge_id", "best.metres")
 
 
 def audit(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.geo import centre_lng, contains, distance
+from plumbline.functions.geo import DEGREE_METRES, centre_lng, contains, distance, turn_between
 from plumbline.functions.text import context_of, has_street_suffix, normalize, text_match_class
 from plumbline.operators.catalog import bm25, frequency, kind_rank, one_street_each
 from plumbline.operators.lineage import cut
@@ -40,7 +40,8 @@ def posting_search(queries: DataFrame, postings: DataFrame, stats: DataFrame, li
     word = ["query_id", "q", "n", "pos"]
     tf = frequency(F.sum("name_tf"), F.sum("alias_tf"), F.sum("address_tf")).alias("tf")
     each = hits.groupBy(*word, "id").agg(tf, *[F.any_value(c).alias(c) for c in ("kind", "closed", "doc_len", "n_name")])
-    each = each.withColumn("df", F.count("*").over(Window.partitionBy("query_id", "pos")))  # closed ones count
+    df = each.groupBy("query_id", "pos").agg(F.count("*").alias("df"))  # closed ones count
+    each = each.join(df, ["query_id", "pos"])
     scored = each.where(~F.col("closed")).crossJoin(F.broadcast(stats))  # one row
     scored = scored.withColumn("part", bm25(F.col("tf"), F.col("df"), F.col("doc_len"), F.col("n_docs"), F.col("avg_doc_len")))
     every = scored.groupBy("query_id", "q", "n", "id").agg(F.count("*").alias("hit"), F.sum("part").alias("sum"), *[F.any_value(c).alias(c) for c in ("kind", "n_name")])
@@ -201,18 +202,22 @@ def parsed_context(queries: DataFrame, ascii_only: bool = False) -> DataFrame:
 def nearest_addresses(viewports: DataFrame, entities: DataFrame, k: int = 8, metres: float = 5_000.0) -> DataFrame:
     """(query_id, rank, id): the k open addresses nearest to a viewport's centre in the plane, within ``metres`` on the sphere.
 
-    Viewports of more than two degrees have no such context. Candidates come by grid cells of a
-    tenth of a degree, so only rows near a centre meet it.
+    Viewports of more than two degrees have no such context; those that cross the antimeridian
+    count by what they span. Candidates come by grid cells of a tenth of a degree that the circle
+    meets, so only rows near a centre meet it.
     """
-    small = ((F.col("north") - F.col("south")).between(0.0, 2.0)) & ((F.col("east") - F.col("west")).between(0.0, 2.0)) & (F.col("north") > F.col("south")) & (F.col("east") > F.col("west"))
+    high, broad = F.col("north") - F.col("south"), F.col("east") - F.col("west") + F.when(F.col("west") > F.col("east"), 360.0).otherwise(0.0)
+    small = (high > 0) & (high <= 2) & (broad > 0) & (broad <= 2)
     v = viewports.where(small).select("query_id", ((F.col("south") + F.col("north")) / 2).alias("c_lat"), centre_lng(F.col("west"), F.col("east")).alias("c_lng"))
     cell = lambda x: F.floor(x * 10).cast("long")
-    wide = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    v = v.select("*", F.explode(wide).alias("dy")).select("*", F.explode(wide).alias("dx"))
-    v = v.select("query_id", "c_lat", "c_lng", (cell(F.col("c_lat")) + F.col("dy")).alias("cy"), (cell(F.col("c_lng")) + F.col("dx")).alias("cx"))
-    own = entities.where((F.col("kind") == "address") & ~F.col("closed")).select("id", "lat", "lng", cell(F.col("lat")).alias("cy"), cell(F.col("lng")).alias("cx"))
+    column = lambda c: F.pmod(c, F.lit(3_600))
+    up = metres / DEGREE_METRES * 1.001
+    wide = F.least(F.lit(180.0), up / F.greatest(F.cos(F.radians(F.least(F.abs("c_lat") + up, F.lit(90.0)))), F.lit(1e-9)))
+    reach = lambda c, by: F.explode(F.sequence(cell(F.col(c) - by), cell(F.col(c) + by)))
+    v = v.select("*", reach("c_lat", F.lit(up)).alias("cy")).select("*", reach("c_lng", wide).alias("cx")).withColumn("cx", column(F.col("cx"))).distinct()
+    own = entities.where((F.col("kind") == "address") & ~F.col("closed")).select("id", "lat", "lng", cell(F.col("lat")).alias("cy"), column(cell(F.col("lng"))).alias("cx"))
     hits = v.join(own, ["cy", "cx"]).where(distance(F.col("c_lat"), F.col("c_lng"), F.col("lat"), F.col("lng")) <= metres)
-    plane = F.pow(F.col("lat") - F.col("c_lat"), 2) + F.pow((F.col("lng") - F.col("c_lng")) * F.cos(F.radians("c_lat")), 2)
+    plane = F.pow(F.col("lat") - F.col("c_lat"), 2) + F.pow(turn_between(F.col("c_lng"), F.col("lng")) * F.cos(F.radians("c_lat")), 2)
     w = Window.partitionBy("query_id").orderBy(F.round(plane, 12), "id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id")
 

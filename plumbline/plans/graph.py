@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import routing
+from plumbline.operators import routing, staging
 from plumbline.plans import sql as S
 from plumbline.plans.lookup import query
 from plumbline.sources.roads import GRAPH_SQL, graph
@@ -104,7 +104,7 @@ def graph_histograms(spark, sf_dir):
 
 
 POINT_SQL = "points AS (SELECT c_custkey AS query_id, 24 + CAST(c_custkey * 7919 % 2600 AS DOUBLE) / 10000 AS lat, -125 + CAST(c_custkey * 104729 % 5900 AS DOUBLE) / 10000 AS lng FROM customer)"
-SNAP_SQL = f"""own AS (SELECT edge_id, a.lat AS a_lat, a.lng AS a_lng, b.lat AS b_lat, b.lng AS b_lng FROM open_edges JOIN nodes a ON a.node_id = start_node JOIN nodes b ON b.node_id = end_node),
+SNAP_SQL = f"""own AS (SELECT edge_id, a.lat AS a_lat, a.lng AS a_lng, b.lat AS b_lat, b.lng AS b_lng FROM open_edges JOIN nodes a ON a.node_id = start_node JOIN nodes b ON b.node_id = end_node WHERE class >= 2),
 h AS (SELECT query_id, edge_id, lat, lng, a_lat, a_lng, b_lat, b_lng, (a_lng - lng) * cos(radians(lat)) AS ax, a_lat - lat AS ay, (b_lng - lng) * cos(radians(lat)) - (a_lng - lng) * cos(radians(lat)) AS dx, (b_lat - lat) - (a_lat - lat) AS dy
   FROM points JOIN own ON lat BETWEEN least(a_lat, b_lat) - 0.01 AND greatest(a_lat, b_lat) + 0.01 AND lng BETWEEN least(a_lng, b_lng) - 0.01 AND greatest(a_lng, b_lng) + 0.01),
 t AS (SELECT *, CASE WHEN dx = 0 AND dy = 0 THEN 0.0 ELSE least(1.0, greatest(0.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) END AS t FROM h),
@@ -117,7 +117,8 @@ def snap_points(spark, sf_dir):
 
     edges, nodes = _open(spark, sf_dir)
     points = read(spark, sf_dir, "customer").selectExpr("c_custkey AS query_id", "24 + CAST(c_custkey * 7919 % 2600 AS DOUBLE) / 10000 AS lat", "-125 + CAST(c_custkey * 104729 % 5900 AS DOUBLE) / 10000 AS lng")
-    return routing.snapped(points, edges, nodes)
+    bare = edges.withColumns({"bridge": F.lit(False), "tunnel": F.lit(False)})
+    return routing.snapped(points, staging.snap_eligible(bare, edges), nodes)
 
 
 @query("canonical_nodes", """WITH RECURSIVE l AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier WHERE s_suppkey % 4 <> 3), b AS (SELECT a, b FROM l UNION SELECT b, a FROM l),

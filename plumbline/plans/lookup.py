@@ -14,7 +14,7 @@ INPUTS = [
     (1, "harbor market"), (2, "The Harbor 3 Mar"), (3, "red wid"), (4, "small ring st"), (5, "saint nation 3"), (6, "africa"), (7, "b"), (8, "12"),
     (9, "machinery ave"), (10, "nation_4"), (11, "Asia"), (12, "nothing like it"), (13, "the harbor 5 market"), (14, "blue"), (15, "  "), (16, "Cafés, 3"),
 ]
-VIEWPORTS = [(i, s, -125.0 + i, s + 9.0, -125.0 + i + 30.0) for i, s in ((1, 24.0), (2, 30.0), (3, 40.0), (4, 26.0), (5, 25.0), (6, 24.0), (9, 35.0), (13, 41.0), (14, 28.0))] + [(3, 24.0, 170.0, 50.0, -100.0)]
+VIEWPORTS = [(i, s, -125.0 + i, s + 9.0, -125.0 + i + 30.0) for i, s in ((1, 24.0), (2, 30.0), (3, 40.0), (4, 26.0), (5, 25.0), (6, 24.0), (9, 35.0), (13, 41.0), (14, 28.0))] + [(10, 24.0, 170.0, 50.0, -100.0)]
 CONTEXTS = [
     (1, "Saint Nation 3, Rhode Island"), (2, "St. Nation 3, ri"), (3, "St Nation 2, Connecticut"), (4, "Main St, Springfield, NY"), (5, "Portland"), (6, "a, b, c, d"),
     (7, ", ME"), (8, "42, ME"), (9, "New York, newyork"), (10, "Elm Ave, St. Paul, MN"), (11, "Paris, France"), (12, "Elm Ave, 5, MN"), (13, "St, CT"), (14, "Court, ct"),
@@ -42,19 +42,25 @@ def inputs(spark: SparkSession) -> DataFrame:
 
 
 def viewports(spark: SparkSession) -> DataFrame:
-    return literal(spark, VIEWPORTS[:-1], "query_id BIGINT, south DOUBLE, west DOUBLE, north DOUBLE, east DOUBLE")
+    return literal(spark, VIEWPORTS, "query_id BIGINT, south DOUBLE, west DOUBLE, north DOUBLE, east DOUBLE")
+
+
+HELD: list[DataFrame] = []
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entities, postings and statistics, which a search reads many times; kept in memory or on disk, and rebuilt if lost."""
+    """Entities, postings and statistics, which a search reads many times; kept in memory or on disk until the next one's, and rebuilt if lost."""
+    while HELD:
+        HELD.pop().unpersist()
     e = places(spark, sf_dir).persist()
-    return e, catalog.postings(e).persist(), catalog.corpus_stats(e)
+    HELD.extend([e, catalog.postings(e).persist()])
+    return e, HELD[-1], catalog.corpus_stats(e)
 
 
 Q: dict[str, object] = {}
 SQL: dict[str, str] = {}
 INPUT_SQL = S.values("queries", INPUTS, "query_id, input")
-VIEW_SQL = S.values("viewports", VIEWPORTS[:-1], "query_id, south, west, north, east")
+VIEW_SQL = S.values("viewports", VIEWPORTS, "query_id, south, west, north, east")
 
 
 def query(name: str, sql: str | None = None):
@@ -165,7 +171,8 @@ def bm25_topk(spark, sf_dir):
     lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("len"))
     stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_doc_len"))
     asked = tf.where(F.col("token").isin("the", "license", "of", "worthless", "version"))
-    rows = asked.withColumn("df", F.count("*").over(Window.partitionBy("token"))).join(lengths, "doc_id").crossJoin(F.broadcast(stats))
+    df = asked.groupBy("token").agg(F.count("*").alias("df"))  # as many rows as words are asked for
+    rows = asked.join(F.broadcast(df), "token").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
     score = F.round(catalog.bm25(F.col("tf"), F.col("df"), F.col("len"), F.col("n_docs"), F.col("avg_doc_len")), 6)
     ranked = rows.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("score"), "doc_id")))
     return ranked.where("rank <= 10").select("token", "doc_id", "score", "rank")
@@ -214,7 +221,7 @@ def destination_promotion(spark, sf_dir):
 
 @query("viewport_rerank", f"""WITH {S.CATALOG}, {INPUT_SQL}, {VIEW_SQL}, {S.SEARCH}, v AS (
   SELECT h.query_id, h.rank, h.id, CASE WHEN n_name = q OR regexp_replace(n_name, '^the ', '') = q THEN 0 WHEN starts_with(n_name, q) OR starts_with(regexp_replace(n_name, '^the ', ''), q) THEN 1 ELSE 2 END AS c,
-    {S.inside()} AS inside, round({S.metres('(south + north) / 2', '(west + east) / 2', 'lat', 'lng')}, 3) AS metres
+    {S.inside()} AS inside, round({S.metres('(south + north) / 2', S.centre(), 'lat', 'lng')}, 3) AS metres
   FROM hits h JOIN entities USING (id) JOIN asked USING (query_id) JOIN viewports USING (query_id) WHERE h.rank <= 25)
 SELECT query_id, CAST(place AS INTEGER) AS rank, id, inside, metres FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c, inside DESC, metres, rank) AS place FROM v) WHERE place <= 5""")
 def viewport_rerank(spark, sf_dir):
@@ -232,7 +239,7 @@ AROUND = [(i, a - 0.5, b - 0.4, a + 0.52, b + 0.42) for i, (a, b) in enumerate(m
 
 
 @query("viewport_context_knn", f"""WITH {S.PLACES}, {S.values('v', AROUND, 'query_id, south, west, north, east')},
-c AS (SELECT query_id, (south + north) / 2 AS a, (west + east) / 2 AS b FROM v WHERE north - south BETWEEN 0 AND 2 AND east - west BETWEEN 0 AND 2),
+c AS (SELECT query_id, (south + north) / 2 AS a, (west + east) / 2 AS b FROM v WHERE north - south > 0 AND north - south <= 2 AND east - west > 0 AND east - west <= 2),
 h AS (SELECT query_id, id, round(pow(lat - a, 2) + pow((lng - b) * cos(radians(a)), 2), 12) AS d FROM c JOIN entities ON kind = 'address' AND NOT closed AND {S.metres('a', 'b', 'lat', 'lng')} <= 5000)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM h) WHERE rank <= 8""")
 def viewport_context_knn(spark, sf_dir):
@@ -301,7 +308,7 @@ def fuzzy_terms(spark, sf_dir):
     return search.fuzzy_terms(words, tokens)
 
 
-@query("gauss_decay_score", f"""WITH {S.PLACES}, {VIEW_SQL}, d AS (SELECT query_id, id, {S.metres('(south + north) / 2', '(west + east) / 2', 'lat', 'lng')} AS m, least(1000000.0, greatest(2000.0, {S.metres('south', 'west', 'north', 'east')} / 2)) AS s
+@query("gauss_decay_score", f"""WITH {S.PLACES}, {VIEW_SQL}, d AS (SELECT query_id, id, {S.metres('(south + north) / 2', S.centre(), 'lat', 'lng')} AS m, least(1000000.0, greatest(2000.0, {S.metres('south', 'west', 'north', 'east')} / 2)) AS s
   FROM viewports JOIN entities ON kind = 'area') SELECT query_id, id, round(exp(ln(0.5) * pow(m / s, 2)) * 40.0, 6) AS score FROM d""")
 def gauss_decay_score(spark, sf_dir):
     """Every area against a handful of viewports, which are the stated query set."""
@@ -322,7 +329,7 @@ def function_score(spark, sf_dir):
 
 
 @query("candidate_merge_max", f"""WITH {S.PLACES}, {VIEW_SQL}, n AS (SELECT query_id, id, round(1000 - prominence, 6) AS score FROM viewports JOIN entities ON kind = 'area'),
-l AS (SELECT query_id, id, round(1100.0 - {S.metres('(south + north) / 2', '(west + east) / 2', 'lat', 'lng')} / 10000, 6) AS score FROM viewports JOIN entities ON kind = 'area' AND {S.inside()})
+l AS (SELECT query_id, id, round(1100.0 - {S.metres('(south + north) / 2', S.centre(), 'lat', 'lng')} / 10000, 6) AS score FROM viewports JOIN entities ON kind = 'area' AND {S.inside()})
 SELECT query_id, id, max(score) AS score FROM (SELECT * FROM n UNION ALL SELECT * FROM l) GROUP BY query_id, id""")
 def candidate_merge_max(spark, sf_dir):
     rows = places(spark, sf_dir).where("kind = 'area'").crossJoin(F.broadcast(viewports(spark)))  # as many rows as VIEWPORTS has
@@ -357,7 +364,7 @@ def forward_geocode(spark, sf_dir):
     return geocode.forward(_addresses(spark, sf_dir), catalog.address_lookup(places(spark, sf_dir)), ascii_only=True)
 
 
-@query("forward_biased", f"""WITH {S.PLACES}, {ADDRESS_SQL}, {FORWARD}, {VIEW_SQL}, b AS (SELECT query_id, id, {S.inside()} AS inside, round({S.metres('(south + north) / 2', '(west + east) / 2', 'lat', 'lng')}, 3) AS metres
+@query("forward_biased", f"""WITH {S.PLACES}, {ADDRESS_SQL}, {FORWARD}, {VIEW_SQL}, b AS (SELECT query_id, id, {S.inside()} AS inside, round({S.metres('(south + north) / 2', S.centre(), 'lat', 'lng')}, 3) AS metres
   FROM found JOIN entities USING (id) JOIN viewports USING (query_id)) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY inside DESC, metres, id) AS INTEGER) AS rank, id FROM b""")
 def forward_biased(spark, sf_dir):
     e = places(spark, sf_dir)

@@ -21,13 +21,14 @@ def words(x: str) -> str:
     return f"CASE WHEN coalesce({x}, '') = '' THEN 0 ELSE len(string_split({x}, ' ')) END"
 
 
-NUMBER = r"^([0-9]+)([a-zA-Z]?)\s+(\p{L}.*)$"
-
-
 def address_key(x: str) -> str:
-    part = lambda i: f"regexp_extract(trim({x}), '{NUMBER}', {i})"
-    number = f"CASE WHEN ltrim({part(1)}, '0') = '' THEN '0' ELSE ltrim({part(1)}, '0') END"
-    return f"CASE WHEN regexp_matches(trim({x}), '{NUMBER}') AND {norm(part(3))} <> '' THEN {number} || lower({part(2)}) || ' ' || {norm(part(3))} END"
+    head = f"split_part(trim({x}), ' ', 1)"
+    rest = f"ltrim(substr(trim({x}), length({head}) + 1))"
+    lettered = f"lower(right({head}, 1)) BETWEEN 'a' AND 'z'"
+    digits = f"CASE WHEN {lettered} THEN left({head}, length({head}) - 1) ELSE {head} END"
+    letter = f"CASE WHEN {lettered} THEN lower(right({head}, 1)) ELSE '' END"
+    number = f"CASE WHEN ltrim({digits}, '0') = '' THEN '0' ELSE ltrim({digits}, '0') END"
+    return f"CASE WHEN ({digits}) <> '' AND translate({digits}, '0123456789', '') = '' AND regexp_matches(left({rest}, 1), '\\p{{L}}') AND {norm(rest)} <> '' THEN {number} || ({letter}) || ' ' || {norm(rest)} END"
 
 
 def metres(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
@@ -40,6 +41,11 @@ def cell(lat: str, lng: str) -> str:
     return f"CAST(floor(({lat} + 90) * 1000) * 360001 + floor(({lng} + 180) * 1000) AS BIGINT)"
 
 
+def centre() -> str:
+    """The longitude of the middle of a viewport that may cross the antimeridian."""
+    return "(CASE WHEN west <= east THEN (west + east) / 2 WHEN (west + east + 360) / 2 > 180 THEN (west + east) / 2 - 180 ELSE (west + east + 360) / 2 END)"
+
+
 def inside(lat: str = "lat", lng: str = "lng") -> str:
     return f"({lat} >= south AND {lat} <= north AND CASE WHEN west <= east THEN {lng} >= west AND {lng} <= east ELSE {lng} >= west OR {lng} <= east END)"
 

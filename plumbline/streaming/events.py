@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.lineage import shared_folder
+
 
 def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_a_batch: int = 1) -> DataFrame:
@@ -28,6 +28,15 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def totalled(stream: DataFrame, name: str) -> DataFrame:
+    """The final state of an aggregation over a stream, when its input is used up; each batch replaces the table of the one before."""
+    spark = stream.sparkSession
+    out = _folder(spark, name)
+    query = stream.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def first_events(stream: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
     """Events by key once, as long as repeats come within ``late`` of event time."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])

@@ -259,3 +259,94 @@ def test_streams_match_batches(spark, tmp_path):
     closed = {(r.begin, r.event_type): r.n for r in events.drained(live, "windows").collect()}
     whole = {(r.begin, r.event_type): r.n for r in events.windowed(spark.read.parquet(f"{tmp_path}/in")).collect()}
     assert closed and all(whole[k] == n for k, n in closed.items())
+
+
+def test_the_antimeridian_and_the_far_north(spark):
+    from plumbline.operators import geocode, routing, search
+
+    view = "query_id long, south double, west double, north double, east double"
+    places = spark.createDataFrame([("a", "address", False, 10.0, 179.99), ("b", "address", False, 10.0, -179.985), ("c", "address", False, 10.0, 0.0), ("d", "address", False, 80.0, 20.2), ("e", "address", False, 80.0, 20.9)], "id string, kind string, closed boolean, lat double, lng double")
+    v = spark.createDataFrame([(1, 9.5, 179.5, 10.5, -179.5), (2, 79.5, 19.0, 80.5, 21.0)], view)
+    got = search.nearest_addresses(v, places).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r["rank"], r.id) for r in got] == [(1, 1, "a"), (1, 2, "b"), (2, 1, "d")]
+    found = spark.createDataFrame([(1, "c"), (1, "b")], "query_id long, id string")
+    assert [r.id for r in geocode.biased(found, v, places).orderBy("rank").collect()] == ["b", "c"]
+    far = spark.createDataFrame([(1, 0.0, 100.0, 20.0, -100.0)], view)  # all outside but b, whose centre lies at 180
+    assert [r.id for r in geocode.biased(spark.createDataFrame([(1, "c"), (1, "a")], "query_id long, id string"), far, places).orderBy("rank").collect()] == ["a", "c"]
+    nodes = spark.createDataFrame([(1, 10.0, 179.995), (2, 10.0, -179.995), (3, 10.01, 179.995), (4, 10.01, 170.0)], "node_id long, lat double, lng double")
+    edges = spark.createDataFrame([(7, 1, 2), (8, 3, 4), (9, 1, 2)], "edge_id long, start_node long, end_node long")
+    points = spark.createDataFrame([(1, 10.0003, 179.9999), (2, 10.0003, -179.9999), (3, 10.0003, 0.0), (4, 10.0103, 175.0)], "query_id long, lat double, lng double")
+    got = {r.query_id: r for r in routing.snapped(points, edges, nodes).collect()}
+    assert {q: r.edge_id for q, r in got.items()} == {1: 7, 2: 7, 4: 8} and all(abs(r.metres - 33.4) < 0.1 for r in got.values())
+
+
+def test_snapping_against_every_edge(spark):
+    import math
+    import random
+
+    from plumbline.operators import routing
+
+    r = random.Random(5)
+    nodes = [(i, 60 + r.random() * 0.02, 5 + r.random() * 0.04) for i in range(40)]
+    edges = [(100 - i, r.randrange(40), r.randrange(40)) for i in range(80)]
+    points = [(i, 60 + r.random() * 0.02, 5 + r.random() * 0.04) for i in range(150)]
+    at = {i: (a, b) for i, a, b in nodes}
+
+    def sphere(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6_371_008.8 * math.asin(math.sqrt(h))
+
+    want = {}
+    for q, lat, lng in points:
+        k = math.cos(math.radians(lat))
+        best = []
+        for e, a, b in edges:
+            (y1, x1), (y2, x2) = at[a], at[b]
+            ax, ay, dx, dy = (x1 - lng) * k, y1 - lat, (x2 - x1) * k, y2 - y1
+            t = 0.0 if dx == dy == 0 else min(1.0, max(0.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy)))
+            m = round(sphere(lat, lng, y1 + (y2 - y1) * t, x1 + (x2 - x1) * t), 3)
+            if m <= 100:
+                best.append((m, e))
+        if best:
+            want[q] = min(best)
+    got = routing.snapped(spark.createDataFrame(points, "query_id long, lat double, lng double"), spark.createDataFrame(edges, "edge_id long, start_node long, end_node long"), spark.createDataFrame(nodes, "node_id long, lat double, lng double")).collect()
+    assert len(want) > 50 and {r.query_id: (r.metres, r.edge_id) for r in got} == want
+
+
+def test_bounded_search_and_ways_that_are_too_long(spark):
+    import random
+
+    import pytest as pt
+
+    from plumbline.operators import routing
+
+    r = random.Random(2)
+    rows = [(i, r.randrange(30), r.randrange(30), r.randrange(1, 50)) for i in range(90)]
+    edges = spark.createDataFrame([x for x in rows if x[1] != x[2]], "edge_id long, start_node long, end_node long, cost long")
+    pairs = [(0, 5), (3, 17), (8, 29), (4, 4)]
+    costs = routing.landmark_costs(edges, spark.createDataFrame([(1,), (12,)], "source long"))
+    got = {(x.source, x.target): x.cost for x in routing.directed(edges, spark.createDataFrame(pairs, "source long, target long"), costs).collect()}
+    best = {s: {s: 0} for s, _ in pairs}
+    for s, d in best.items():
+        for _ in range(40):
+            for _, a, b, c in rows:
+                if a in d and a != b and d[a] + c < d.get(b, 10**9):
+                    d[b] = d[a] + c
+    assert got == {(s, t): best[s][t] for s, t in pairs if t in best[s]}
+    line = spark.createDataFrame([(i, i, i + 1, 1) for i in range(4)], "edge_id long, start_node long, end_node long, cost long")
+    ways = routing.shortest(line, spark.createDataFrame([(0,)], "source long"))
+    target = spark.createDataFrame([(0, 4)], "source long, target long")
+    assert routing.paths(line, ways, target).count() == 4
+    with pt.raises(ValueError, match="longer"):
+        routing.paths(line, ways, target, max_rounds=3)
+
+
+def test_house_numbers_and_units(spark):
+    from plumbline.functions import text
+
+    rows = ["12 Main St", "0012b  Elm Ave", "000 Zero Rd", "12-14 Main St", "Main St", "12", "12bb Oak Ln", "12 9th St", "7 Ünter Weg", "", "é12 x", "B Main", "5\tTab Way"]
+    got = [r.k for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").orderBy("i").select(text.address_key(F.col("x")).alias("k")).collect()]
+    assert got == ["12 main street", "12b elm avenue", "0 zero road", None, None, None, None, None, "7 unter weg", None, None, None, "5 tab way"]
+    units = ["Apt 4, 12 Main", "12 Main #2", "Suite", "unitary way", "12 floor_x", "FL. 3", "aptos", "", "ste"]
+    got = [r.k for r in spark.createDataFrame([(i, x) for i, x in enumerate(units)], "i int, x string").orderBy("i").select(text.names_unit(F.col("x")).alias("k")).collect()]
+    assert got == [True, True, True, False, False, True, False, False, True]
