@@ -225,11 +225,23 @@ FOUND_FIELDS = pa.schema([("lead", pa.int64()), ("head", pa.int64()), ("tail", p
 def _compared(reps: DataFrame, width: int, lead: int) -> DataFrame:
     """(class, begin, stop): the repeated strings of each class, counted from the lead on.
 
-    Spark samples splitters and deals the suffixes by ranges, suffixes that are equal by what stands
-    before them, so that no range grows with a common passage. A range sorts its own; the first
-    and the last lead in it may go on in a neighbour.
+    Spark samples splitters and deals the suffixes by ranges of leads, so that a lead has its
+    suffixes in one range. Leads of more than RANGE_ROWS suffixes are dealt by the whole suffix, and
+    by what stands before it where that is equal too; so no range grows with a common passage.
     """
+    # No more rows than one for each RANGE_ROWS suffixes.
+    large = written(reps.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > RANGE_ROWS).select("lead"), "suffix-large")
     ranges = max(1, -(-reps.count() // RANGE_ROWS))
+    found = _sorted(reps.join(large, "lead", "left_anti").repartitionByRange(ranges, F.substring("suffix", 1, lead)), width, lead, False)
+    if large.isEmpty():
+        return found.select(*SAME, "begin", "stop")
+    split = written(_sorted(reps.join(large, "lead", "left_semi").repartitionByRange(ranges, "suffix", "before"), width, lead, ranges > 1), "suffix-ranges")
+    spans = found.unionAll(split.where(~F.col("open"))).select(*SAME, "begin", "stop")
+    return spans.unionAll(_across(split.where("open"), width, lead))
+
+
+def _sorted(dealt: DataFrame, width: int, lead: int, split: bool) -> DataFrame:
+    """What the order of each range decides. Where leads are ``split``, the first and the last of a range may go on in a neighbour, and stay open."""
 
     @frugal_batches
     def compare(batches):
@@ -243,7 +255,7 @@ def _compared(reps: DataFrame, width: int, lead: int) -> DataFrame:
         before = t.column("before").to_pylist()
         lo, hi, twice = (t.column(c).to_numpy() for c in ("lo", "hi", "twice"))
         number = np.cumsum(shared < lead) - 1  # of the lead, in order
-        goes_on = (number == 0) | (number == number[-1]) if ranges > 1 else np.zeros(len(number), bool)
+        goes_on = (number == 0) | (number == number[-1]) if split else np.zeros(len(number), bool)
         local, rows = np.flatnonzero(~goes_on), []
         names = {c: t.column(c).to_numpy() for c in ("lead", "head", "tail")}
 
@@ -265,9 +277,7 @@ def _compared(reps: DataFrame, width: int, lead: int) -> DataFrame:
         for i in range(0, len(rows), 4_096):
             yield pa.RecordBatch.from_pylist(rows[i : i + 4_096], FOUND_FIELDS)
 
-    found = written(reps.repartitionByRange(ranges, "suffix", "before").mapInArrow(compare, FOUND), "suffix-ranges")
-    spans = found.where(~F.col("open")).select(*SAME, "begin", "stop")
-    return spans.unionAll(_across(found.where("open"), width, lead))
+    return dealt.select(*REP_FIELDS.names).mapInArrow(compare, FOUND)
 
 
 def _across(open_: DataFrame, width: int, lead: int) -> DataFrame:
