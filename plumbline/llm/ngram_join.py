@@ -374,7 +374,10 @@ def _searched(dealt: DataFrame, like: tuple[int, int], *task: str) -> DataFrame:
         at = np.flatnonzero((known == np.arange(len(nodes))) & (roots != known))
         return pd.DataFrame({"a": nodes[at], "b": nodes[roots[at]]}, dtype="int64")
 
-    return dealt.select(*task, "node", "n", "root", "side", "tokens").groupBy(*task).applyInPandas(search, "a long, b long")
+    # A number of partitions of its own, as tasks that are small in bytes take long here and should not be put together.
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = dealt.select(*task, "node", "n", "root", "side", "tokens").repartition(parts, *task)
+    return own.groupBy(*task).applyInPandas(search, "a long, b long")
 
 
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -402,7 +405,7 @@ def _found(members: DataFrame, like: tuple[int, int]) -> DataFrame:
     for turn in range(TURNS):
         if rest.isEmpty():
             break
-        parts = rest.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        parts = written(rest.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "shingle-parts")
         dealt = rest.join(parts, "cluster").withColumn("p", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts")).cast("int"))
         links.append(written(_searched(dealt, like, "cluster", "p"), "shingle-links"))
         rest = _open(rest, functools.reduce(DataFrame.unionAll, links))
@@ -415,7 +418,8 @@ def _paired(members: DataFrame, like: tuple[int, int]) -> DataFrame:
     """The sets of large clusters, once for each ``task``: a pair of blocks of half a task's sets, of size classes that can be alike."""
     ratio = math.log(like[1] / like[0]) * (1 + 1e-9)  # sets at the very limit stay in neighbouring classes
     classed = members.withColumn("c", F.floor(F.log("n") / ratio).cast("int"))
-    blocks = classed.groupBy("cluster", "c").agg(F.ceil(F.count("*") / (PAIRED // 2)).cast("int").alias("parts"))
+    # Written, so that its size is known before sets are dealt by cluster.
+    blocks = written(classed.groupBy("cluster", "c").agg(F.ceil(F.count("*") / (PAIRED // 2)).cast("int").alias("parts")), "shingle-blocks")
     each = blocks.select("cluster", "c", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
     left = each.select("cluster", F.col("c").alias("c1"), F.col("p").alias("p1"))
     right = each.select("cluster", F.col("c").alias("c2"), F.col("p").alias("p2"))
