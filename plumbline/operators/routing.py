@@ -128,6 +128,87 @@ def restricted(edges: DataFrame, banned: DataFrame, origin: DataFrame) -> DataFr
     return found.select((-F.col("source") - 1).alias("source"), F.col("at").alias("node"), "cost")
 
 
+def departures(edges: DataFrame, links: DataFrame, widest: int = 3) -> DataFrame:
+    """(node, edge_id): the edges that leave each node or a node of its junction, whose levels ``links`` (a, b) tie together at no cost.
+
+    A junction of more than ``widest`` nodes is an error of the graph.
+    """
+    members = cut(groups(links))
+    wide = members.groupBy("canonical").count().where(F.col("count") > widest).first()
+    if wide:
+        raise ValueError(f"junction {wide['canonical']} has {wide['count']} nodes, more than {widest}")
+    other = members.select(F.col("node").alias("start_node"), "canonical")
+    shared = members.join(other, "canonical").join(edges, "start_node").select("node", "edge_id")
+    alone = edges.join(members.select(F.col("node").alias("start_node")), "start_node", "left_anti")
+    return alone.select(F.col("start_node").alias("node"), "edge_id").unionAll(shared)
+
+
+def turn_states(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What banned sequences (edges) of edge ids do to a way: (own, own_state, own_banned) and (state, own, next_state, next_banned).
+
+    A state is the longest end of the way that begins a rule, as an array; the first table is
+    for ways of which no end does, the second for the others, where an edge goes on with one of
+    their ends. An edge in neither table leads to the empty state. Sizes follow the rules alone.
+    """
+    begun = rules.where(F.size("edges") > 0).select("edges", F.explode(F.sequence(F.lit(1), F.size("edges"))).alias("n"))
+    prefixes = cut(begun.groupBy(F.slice("edges", F.lit(1), F.col("n")).alias("state")).agg(F.max(F.col("n") == F.size("edges")).alias("whole")))
+    ends = prefixes.select("state", F.explode(F.transform(F.sequence(F.lit(1), F.size("state")), lambda k: F.slice("state", -k, k))).alias("end"))
+    ends = cut(ends.join(prefixes.select(F.col("state").alias("end"), "whole"), "end"))
+    banned = ends.groupBy(F.col("state").alias("next_state")).agg(F.max("whole").alias("next_banned"))
+    child = prefixes.select(F.slice("state", F.lit(1), F.size("state") - 1).alias("end"), F.element_at("state", -1).alias("own"), F.col("state").alias("next_state")).join(banned, "next_state")
+    first = child.where(F.size("end") == 0).select("own", F.col("next_state").alias("own_state"), F.col("next_banned").alias("own_banned"))
+    longest = ends.select("state", "end").join(child, "end").groupBy("state", "own").agg(F.max_by(F.struct("next_state", "next_banned"), F.size("end")).alias("to"))
+    return first, longest.select("state", "own", "to.next_state", "to.next_banned")
+
+
+def sequence_restricted(edges: DataFrame, rules: DataFrame, sources: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+    """(source, node, cost): cheapest ways from each source (source) that hold no banned sequence (edges) and never go straight back.
+
+    A label is a node, a state of the rules and the node the way came from. Edges that no rule
+    names count by the cheapest between two nodes. Of the labels of a node and a state the best
+    two are kept, which come from different nodes: what goes straight back for one does not for
+    the other. So labels grow with nodes and rules, not with pairs of edges.
+    """
+    first, later = turn_states(rules)
+    named = rules.select(F.explode("edges").alias("edge_id")).distinct().withColumn("own", F.col("edge_id"))
+    arcs = edges.select("edge_id", "start_node", "end_node", "cost").join(named, "edge_id", "left").groupBy("start_node", "end_node", "own").agg(F.min("cost").alias("step"))
+    arcs = cut(arcs.join(first, "own", "left").where(~F.coalesce("own_banned", F.lit(False))).drop("own_banned"))
+    later = cut(later)
+    none = F.array().cast("array<bigint>")
+    label = ["source", "node", "state", "came"]
+    best = cut(sources.select("source", F.col("source").alias("node"), none.alias("state"), F.lit(None).cast("bigint").alias("came"), F.lit(0).cast("bigint").alias("cost"), F.lit(None).cast("bigint").alias("old")))
+    order = Window.partitionBy("source", "node", "state").orderBy("cost", "came")
+    for _ in range(max_rounds):
+        frontier = best.where(F.col("old").isNull() | (F.col("cost") < F.col("old")))
+        if frontier.isEmpty():
+            return best.groupBy("source", "node").agg(F.min("cost").alias("cost"))
+        on = frontier.join(arcs, frontier["node"] == arcs["start_node"]).where(F.col("came").isNull() | (F.col("came") != F.col("end_node")))
+        on = on.join(later, ["state", "own"], "left").where(~F.coalesce("next_banned", F.lit(False)))
+        reached = on.select("source", F.col("end_node").alias("node"), F.coalesce("next_state", "own_state", none).alias("state"), F.col("start_node").alias("came"), (F.col("cost") + F.col("step")).alias("cost"), F.lit(None).cast("bigint").alias("old"))
+        held = best.withColumn("old", F.col("cost")).unionByName(reached).groupBy(*label).agg(F.min("cost").alias("cost"), F.min("old").alias("old"))
+        best = cut(held.withColumn("nth", F.row_number().over(order)).where("nth <= 2").drop("nth"))
+    raise ValueError(f"no end after {max_rounds} rounds")
+
+
+def joined_shapes(steps: DataFrame, shapes: DataFrame, widest: float = 0.5) -> DataFrame:
+    """(source, target, points, metres, gap, joined): the shapes (edge_id, shape) of the edges of each way, end to end.
+
+    ``steps`` is what ``paths`` gives, step 0 being the last edge. ``gap`` is the widest distance
+    between the end of a shape and the start of the next; up to ``widest`` metres count as joined,
+    and the first point of the next is then left out.
+    """
+    w = Window.partitionBy("source", "target").orderBy(F.desc("step"))
+    head, tail = F.element_at("shape", 1), F.element_at("shape", -1)
+    rows = steps.join(shapes, "edge_id").withColumn("came", F.lag(tail).over(w))
+    gap = F.when(F.col("came").isNull(), 0.0).otherwise(distance(F.col("came.lat"), F.col("came.lng"), head["lat"], head["lng"]))
+    between = lambda a, b: distance(a["lat"], a["lng"], b["lat"], b["lng"])
+    pairs = F.zip_with(F.slice("shape", F.lit(1), F.size("shape") - 1), F.slice("shape", F.lit(2), F.size("shape") - 1), between)
+    rows = rows.withColumns({"gap": gap, "metres": F.aggregate(pairs, F.lit(0.0), lambda t, x: t + x)})
+    rest = F.when(F.col("came").isNotNull() & (F.col("gap") <= widest), F.slice("shape", F.lit(2), F.size("shape") - 1)).otherwise(F.col("shape"))
+    found = rows.withColumn("rest", rest).groupBy("source", "target").agg(F.sort_array(F.collect_list(F.struct((-F.col("step")).alias("at"), "rest"))).alias("parts"), F.sum("metres").alias("metres"), F.max("gap").alias("gap"))
+    return found.select("source", "target", F.flatten(F.transform("parts", lambda x: x["rest"])).alias("points"), "metres", "gap", (F.col("gap") <= widest).alias("joined"))
+
+
 def predecessors(edges: DataFrame, best: DataFrame) -> DataFrame:
     """(source, node, edge_id, before): the edge of smallest id by which the cheapest way reaches each node."""
     here = best.select("source", F.col("node").alias("end_node"), F.col("cost").alias("total"))

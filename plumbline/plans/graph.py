@@ -82,13 +82,75 @@ def turn_restricted_path(spark, sf_dir):
     return routing.restricted(edges, banned, _sources(spark).where("source = 3"))
 
 
-@query("path_verify")
+WALKED = f"""pre AS MATERIALIZED (SELECT source, node, edge_id, before FROM (SELECT t.source, t.node, e.edge_id, e.start_node AS before, row_number() OVER (PARTITION BY t.source, t.node ORDER BY e.edge_id) AS k
+  FROM {LAST} t JOIN open_edges e ON e.end_node = t.node JOIN {LAST} s ON s.source = t.source AND s.node = e.start_node WHERE s.cost + e.cost = t.cost AND e.cost > 0) WHERE k = 1),
+walk AS (SELECT source, node AS target, edge_id, before FROM pre WHERE node <> source UNION ALL SELECT w.source, w.target, p.edge_id, p.before FROM walk w JOIN pre p ON p.source = w.source AND p.node = w.before WHERE w.before <> w.source)"""
+
+
+def _ways(spark, sf_dir):
+    """(edges, nodes, best, steps): the way from each origin to every node it reaches."""
+    edges, nodes = _open(spark, sf_dir)
+    best = routing.shortest(edges, _sources(spark))
+    targets = best.where("node <> source").select("source", F.col("node").alias("target"))
+    return edges, nodes, best, routing.paths(edges, best, targets)
+
+
+@query("path_verify", f"""WITH RECURSIVE {GRAPH_SQL}, {SSSP}, {WALKED} SELECT source, target, count(*) AS edges, CAST(sum(cost) AS BIGINT) AS cost, true AS continuous, true AS cheapest FROM walk JOIN open_edges USING (edge_id) GROUP BY source, target""")
 def path_verify(spark, sf_dir):
     """The way from each origin to every node it reaches, checked from the edges."""
+    edges, _, best, steps = _ways(spark, sf_dir)
+    return routing.verified_paths(steps, edges, best)
+
+
+@query("route_geometry", f"""WITH RECURSIVE {GRAPH_SQL}, {SSSP}, {WALKED} SELECT source, target, CAST(count(*) + 1 AS INTEGER) AS n_points, round(sum({S.metres('a.lat', 'a.lng', 'b.lat', 'b.lng')}), 3) AS metres, true AS joined
+FROM walk JOIN open_edges USING (edge_id) JOIN nodes a ON a.node_id = start_node JOIN nodes b ON b.node_id = end_node GROUP BY source, target""")
+def route_geometry(spark, sf_dir):
+    """The shapes along each of these ways, end to end; an edge is straight between its nodes."""
+    edges, nodes, _, steps = _ways(spark, sf_dir)
+    at = lambda c: nodes.select(F.col("node_id").alias(c), F.struct("lat", "lng").alias(f"{c}_at"))
+    shapes = edges.join(at("start_node"), "start_node").join(at("end_node"), "end_node").select("edge_id", F.array("start_node_at", "end_node_at").alias("shape"))
+    return routing.joined_shapes(steps, shapes).select("source", "target", F.size("points").alias("n_points"), F.round("metres", 3).alias("metres"), "joined")
+
+
+# Banned: two or three edges in a row, each the cheapest that leaves its node.
+CHEAP = "cheap AS (SELECT start_node AS u, edge_id, end_node AS v FROM (SELECT *, row_number() OVER (PARTITION BY start_node ORDER BY cost, edge_id) AS k FROM open_edges) WHERE k = 1)"
+SEQUENCES = f"{CHEAP}, sequences AS (SELECT a.edge_id AS e1, b.edge_id AS e2, CASE WHEN (a.u + a.v) % 2 = 0 THEN c.edge_id END AS e3 FROM cheap a JOIN cheap b ON b.u = a.v JOIN cheap c ON c.u = b.v)"
+SEQUENCE_ROUNDS = 18
+
+
+def _followed(rounds: int) -> str:
+    """CTEs t0..tN: rounds of ways, each known by where it came from and its last two edges as far as rules name them."""
+    out = ["t0 AS MATERIALIZED (SELECT source, source AS node, CAST(NULL AS BIGINT) AS came, CAST(0 AS BIGINT) AS h1, CAST(0 AS BIGINT) AS h2, CAST(0 AS BIGINT) AS cost FROM sources)"]
+    for i in range(rounds):
+        out.append(f"""t{i + 1} AS MATERIALIZED (SELECT source, node, came, h1, h2, min(cost) AS cost FROM (SELECT * FROM t{i} UNION ALL
+  SELECT d.source, a.end_node, d.node, d.h2, a.own, d.cost + a.step FROM t{i} d JOIN named_arcs a ON a.start_node = d.node AND (d.came IS NULL OR a.end_node <> d.came)
+  WHERE NOT EXISTS (SELECT 1 FROM sequences s WHERE s.e2 = a.own AND s.e1 = d.h2 AND s.e3 IS NULL) AND NOT EXISTS (SELECT 1 FROM sequences s WHERE s.e3 = a.own AND s.e2 = d.h2 AND s.e1 = d.h1)) GROUP BY ALL)""".replace("GROUP BY ALL", "GROUP BY source, node, came, h1, h2"))
+    return ", ".join(out)
+
+
+NAMED_ARCS = "named_arcs AS MATERIALIZED (SELECT start_node, end_node, own, min(cost) AS step FROM (SELECT *, CASE WHEN edge_id IN (SELECT e1 FROM sequences UNION ALL SELECT e2 FROM sequences UNION ALL SELECT e3 FROM sequences WHERE e3 IS NOT NULL) THEN edge_id ELSE 0 END AS own FROM open_edges) GROUP BY start_node, end_node, own)"
+
+
+@query("sequence_restricted_path", f"WITH {GRAPH_SQL}, {SOURCES}, {SEQUENCES}, {NAMED_ARCS}, {_followed(SEQUENCE_ROUNDS)} SELECT source, node, CAST(min(cost) AS BIGINT) AS cost FROM t{SEQUENCE_ROUNDS} GROUP BY source, node")
+def sequence_restricted_path(spark, sf_dir):
+    """Cheapest ways that never go straight back and hold none of the banned sequences of two or three edges."""
     edges, _ = _open(spark, sf_dir)
-    best = routing.shortest(edges, _sources(spark))
-    targets = best.where("node <> source").select("source", F.col("node").alias("target"))
-    return routing.verified_paths(routing.paths(edges, best, targets), edges, best)
+    found = spark.sql(f"WITH {SEQUENCES} SELECT * FROM sequences".replace("FROM open_edges", "FROM {open_edges}"), open_edges=edges)
+    rules = found.select(F.array_compact(F.array("e1", "e2", "e3")).alias("edges"))
+    return routing.sequence_restricted(edges, rules, _sources(spark))
+
+
+LEVELS = "SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier WHERE s_suppkey % 3 <> 2"
+
+
+@query("departures", f"""WITH {GRAPH_SQL}, l AS ({LEVELS}), m AS (SELECT a AS node FROM l UNION SELECT b FROM l)
+SELECT m.node, edge_id FROM m JOIN open_edges ON start_node // 3 = m.node // 3 WHERE start_node IN (FROM m) UNION ALL SELECT start_node, edge_id FROM open_edges WHERE start_node NOT IN (FROM m)""")
+def departures(spark, sf_dir):
+    """The edges that leave each node or another level of its junction; three suppliers in a row are one junction."""
+    from plumbline.sources.places_view import read
+
+    edges, _ = _open(spark, sf_dir)
+    return routing.departures(edges, spark.sql(LEVELS.replace("FROM supplier", "FROM {supplier}"), supplier=read(spark, sf_dir, "supplier")))
 
 
 @query("graph_audit", f"""WITH {GRAPH_SQL} SELECT 'edges' AS "check", count(*) AS value FROM edges UNION ALL SELECT 'nodes', count(*) FROM nodes UNION ALL SELECT 'missing_start', count(*) FROM edges WHERE start_node NOT IN (SELECT node_id FROM nodes)

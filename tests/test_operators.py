@@ -42,6 +42,23 @@ def test_forward_outcomes(spark):
     assert [found[i][0][0] for i in (5, 6, 7, 10)] == ["unsupported_input", "invalid_input", "unsupported_input", "invalid_input"]
 
 
+def test_waypoints(spark):
+    e = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 4.0), ("c", 5.0, 6.0)], "id string, lat double, lng double")
+    lookup = spark.createDataFrame([("1 elm street", "a", "boston us"), ("2 elm street", "b", "boston us"), ("2 elm street", "c", "salem us")], "address_key string, id string, address_context string")
+    rows = [
+        (1, 9.0, 8.0, "a", None), (2, None, None, "b", "1 Elm St"), (3, None, None, "zz", None), (4, None, None, None, "1 Elm St"), (5, None, None, None, "2 elm street"), (6, None, None, None, "2 elm street, salem"),
+        (7, None, None, None, "7 elm street"), (8, None, None, None, "apt 3, 1 elm street"), (9, None, None, None, None), (10, 99.0, 8.0, None, None), (11, 9.0, None, None, " "), (12, 9.0, None, None, None),
+    ]
+    asked = spark.createDataFrame(rows, "query_id long, lat double, lng double, place_id string, input string")
+    got = {r.query_id: tuple(r)[1:] for r in geocode.waypoints(asked, e, lookup).collect()}
+    none = (None, None, None)
+    assert got == {
+        1: ("coordinate", None, 9.0, 8.0), 2: ("place", "b", 3.0, 4.0), 3: ("unknown_place", *none), 4: ("address", "a", 1.0, 2.0), 5: ("ambiguous_address", *none), 6: ("address", "c", 5.0, 6.0),
+        7: ("unresolved_address", *none), 8: ("unsupported_address", *none), 9: ("missing", *none), 10: ("invalid_coordinate", *none), 11: ("unsupported_address", *none), 12: ("missing", *none),
+    }
+    assert geocode.waypoints(asked.limit(0), e, lookup).count() == 0
+
+
 def test_context(spark):
     cases = {
         "Newport, RI": ("newport", None, "RI"), "St. Louis, Missouri": ("saint louis", None, "MO"), "Main St, St Paul, MN": ("main street", "saint paul", "MN"), "Hartford, CT": ("hartford", None, "CT"),
@@ -232,6 +249,66 @@ def test_automaton_finds_each_banned_sequence(spark):
             assert banned == any(path[max(0, k + 1 - len(s)) : k + 1] == s for s in rules)
 
 
+def ways_without(rows, rules, source, keep=4):
+    """node -> (cost, last edges) of the cheapest way that never goes straight back and holds no rule of up to ``keep`` edges."""
+    heap, done, want = [(0, source, ())], set(), {}
+    while heap:
+        d, n, last = heapq.heappop(heap)
+        if (n, last) in done:
+            continue
+        done.add((n, last))
+        want.setdefault(n, (d, last))
+        for j, (a, b, c) in enumerate(rows):
+            way = (*last, j)
+            if a == n and not (last and rows[last[-1]][0] == b) and not any(way[-len(s) :] == tuple(s) for s in rules):
+                heapq.heappush(heap, (d + c, b, way[-keep:]))
+    return want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_banned_sequences_agree_with_a_search_over_last_edges(spark, seed):
+    r = random.Random(seed)
+    rows = [x for x in [(r.randrange(9), r.randrange(9), r.randrange(1, 30)) for _ in range(40)] if x[0] != x[1]]
+    rules = [[r.randrange(len(rows))], [r.randrange(len(rows))] * 2]
+    for _ in range(3):  # the ends of the cheapest ways, then those of the ways around them
+        for s in (0, 4):
+            rules += [list(last[-r.randrange(2, 5) :]) for _, last in ways_without(rows, rules, s).values() if len(last) > 1 and r.random() < 0.6]
+    sources = spark.createDataFrame([(0,), (4,)], "source long")
+    own = spark.createDataFrame([(x,) for x in rules], "edges array<long>")
+    got = {(x.source, x.node): x.cost for x in routing.sequence_restricted(edges_of(spark, rows), own, sources).collect()}
+    assert got == {(s, n): c for s in (0, 4) for n, (c, _) in ways_without(rows, rules, s).items()}
+    assert got != {(s, n): c for s in (0, 4) for n, (c, _) in ways_without(rows, [], s).items()}
+
+
+def test_no_banned_sequences_and_no_edges(spark):
+    rows = [(0, 1, 5), (1, 0, 1), (1, 2, 7), (0, 1, 9)]
+    source, none = spark.createDataFrame([(0,)], "source long"), spark.createDataFrame([], "edges array<long>")
+    assert {(x.node, x.cost) for x in routing.sequence_restricted(edges_of(spark, rows), none, source).collect()} == {(0, 0), (1, 5), (2, 12)}
+    assert [(x.node, x.cost) for x in routing.sequence_restricted(edges_of(spark, rows).limit(0), none, source).collect()] == [(0, 0)]
+    with pytest.raises(ValueError):
+        routing.sequence_restricted(edges_of(spark, rows), none, source, max_rounds=2)
+
+
+def test_departures_of_junctions(spark):
+    edges = edges_of(spark, [(0, 9, 1), (1, 9, 1), (2, 9, 1), (5, 9, 1)])
+    links = lambda *x: spark.createDataFrame(list(x), "a long, b long")
+    got = {tuple(x) for x in routing.departures(edges, links((0, 1), (1, 7))).collect()}
+    assert got == {(n, e) for n in (0, 1, 7) for e in (0, 1)} | {(2, 2), (5, 3)}
+    with pytest.raises(ValueError, match="4 nodes"):
+        routing.departures(edges, links((0, 1), (1, 2), (2, 3)))
+
+
+def test_shapes_of_ways_join_end_to_end(spark):
+    at = lambda *x: [{"lat": a, "lng": b} for a, b in x]
+    shapes = [(1, at((0.0, 0.0), (0.0, 1.0), (0.0, 2.0))), (2, at((0.0, 2.000001), (1.0, 2.0))), (3, at((5.0, 5.0), (6.0, 5.0)))]
+    shapes = spark.createDataFrame(shapes, "edge_id long, shape array<struct<lat:double,lng:double>>")
+    steps = spark.createDataFrame([(0, 8, 1, 1), (0, 8, 0, 2), (0, 9, 1, 1), (0, 9, 0, 3)], "source long, target long, step int, edge_id long")
+    got = {x.target: x for x in routing.joined_shapes(steps, shapes).collect()}
+    assert got[8].joined and [tuple(p) for p in got[8].points] == [(0.0, 0.0), (0.0, 1.0), (0.0, 2.0), (1.0, 2.0)] and 0.1 < got[8].gap < 0.2
+    assert not got[9].joined and len(got[9].points) == 5 and got[9].gap > 100_000
+    assert got[9].metres == pytest.approx(3 * 111_195, rel=0.01)
+
+
 def test_canonical_nodes(spark):
     links = spark.createDataFrame([(5, 3), (3, 9), (10, 11), (7, 7)], "a long, b long")
     assert {r.node: r.canonical for r in routing.groups(links).collect()} == {3: 3, 5: 3, 9: 3, 10: 10, 11: 10, 7: 7}
