@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import geo, text
-from plumbline.operators import generation, ingest, resolve
+from plumbline.operators import catalog, generation, ingest, integrity, resolve, search
 from plumbline.plans import sql as S
 from plumbline.plans.lookup import INPUT_SQL, inputs, places, query
-from plumbline.operators import catalog, search
 from plumbline.sources.places_view import read
 
 RECORDS = "SELECT concat('order:', o_orderkey) AS source_key, o_custkey AS custkey, CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority, o_orderstatus AS status, CAST(o_orderkey % 9 AS INT) AS gap, CAST(o_orderkey % 4 AS INT) AS who, o_orderkey FROM orders"
@@ -197,6 +196,54 @@ def integrity_anti(spark, sf_dir):
     })
 
 
+#: A copy of the catalog with faults of each kind, which the checks have to count.
+DAMAGED = {
+    "e": """SELECT id, CASE WHEN k % 271 = 15 THEN repeat('x', 201) ELSE name END AS name, n_name, n_alias, n_address, closed, lng, CASE WHEN k % 277 <> 16 THEN address_key END AS address_key, CASE WHEN k % 211 = 4 THEN '' ELSE key END AS key, CASE WHEN k % 223 = 5 THEN 'thing' ELSE kind END AS kind, CASE WHEN k % 227 = 6 THEN 91.5 ELSE lat END AS lat,
+  CASE WHEN k % 229 = 7 THEN 1000 ELSE prominence END AS prominence, CASE WHEN k % 233 = 8 THEN NULL ELSE confidence END AS confidence, CASE WHEN k % 239 = 9 THEN doc_len + 1 ELSE doc_len END AS doc_len,
+  CASE WHEN k % 241 = 10 THEN concat('lost', id) WHEN k % 251 = 11 THEN id ELSE parent_id END AS parent_id FROM entities WHERE k % 257 <> 12 UNION ALL
+  SELECT id, name, '' AS n_name, n_alias, n_address, closed, lng, address_key, key, kind, lat, prominence, confidence, doc_len, parent_id FROM entities WHERE k % 263 = 13""",
+    "p": """SELECT token, id, name_tf, alias_tf, address_tf, kind, NOT closed AS closed, doc_len, n_name FROM postings WHERE doc_len % 7 = 6 UNION ALL SELECT token, id, name_tf, alias_tf, address_tf, kind, closed, doc_len, n_name FROM postings WHERE doc_len % 7 <> 6 AND token <> 'market' AND n_name <> 'asia'
+  UNION ALL SELECT '' AS token, id, 0 AS name_tf, 0 AS alias_tf, 0 AS address_tf, kind, closed, doc_len, n_name FROM postings WHERE token = '17' UNION ALL SELECT token, id, name_tf, alias_tf, address_tf, kind, closed, doc_len, n_name FROM postings WHERE token = 'red'""",
+    "s": "SELECT n_docs + 1 AS n_docs, avg_doc_len FROM stats",
+    "a": "SELECT id, address_key FROM entities WHERE kind = 'address' AND NOT closed AND address_key IS NOT NULL AND k % 269 <> 14 UNION ALL SELECT id, 'none' AS address_key FROM entities WHERE kind = 'area'",
+}
+ALONE = {
+    "entities_without_id": "id IS NULL", "entities_without_key": "coalesce(key, '') = ''", "names_empty": "coalesce(n_name, '') = ''", "names_too_long": "length(name) > 200",
+    "kinds_unknown": "coalesce(kind, '') NOT IN ('area', 'street', 'business', 'address')", "coordinates_invalid": "NOT coalesce(lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180, false)",
+    "prominence_outside": "NOT coalesce(prominence BETWEEN 0 AND 100, false)", "confidence_outside": "NOT coalesce(confidence BETWEEN 0 AND 1, false)",
+    "lengths_wrong": f"doc_len IS DISTINCT FROM {S.words('n_name')} + {S.words('n_alias')} + {S.words('n_address')}", "addresses_without_key": "kind = 'address' AND address_key IS NULL",
+    "parents_unknown": "parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM e)", "parents_not_areas": "parent_id IN (SELECT id FROM e) AND parent_id NOT IN (SELECT id FROM e WHERE kind = 'area')",
+    "entities_without_postings": "doc_len > 0 AND id NOT IN (SELECT id FROM p)", "words_not_posted": "(SELECT sum(name_tf + alias_tf + address_tf) FROM p WHERE p.id = e.id) <> doc_len",
+    "copied_fields_differ": "EXISTS (SELECT 1 FROM p WHERE p.id = e.id AND (p.kind, p.closed, p.doc_len, p.n_name) IS DISTINCT FROM (e.kind, e.closed, e.doc_len, e.n_name))",
+}
+APART = {
+    "ids_repeated": "SELECT count(*) - count(DISTINCT id) FROM e", "keys_repeated": "SELECT count(*) - count(DISTINCT key) FROM e", "tokens_empty": "SELECT count(*) FROM p WHERE token = ''",
+    "frequencies_empty": "SELECT count(*) FROM p WHERE name_tf + alias_tf + address_tf <= 0", "postings_repeated": "SELECT count(*) - count(DISTINCT (token, id)) FROM p",
+    "postings_without_entity": "SELECT count(DISTINCT id) FROM p WHERE id NOT IN (SELECT id FROM e)", "count_wrong": "SELECT count(*) FROM s WHERE n_docs <> (SELECT count(*) FROM e)",
+    "mean_wrong": "SELECT count(*) FROM s WHERE abs(avg_doc_len - (SELECT avg(doc_len) FROM e)) > 1e-9",
+    "addresses_not_listed": "SELECT count(*) FROM e WHERE kind = 'address' AND NOT closed AND address_key IS NOT NULL AND (id, address_key) NOT IN (SELECT (id, address_key) FROM a)",
+    "listed_not_addresses": "SELECT count(*) FROM a WHERE (id, address_key) NOT IN (SELECT (id, address_key) FROM e WHERE kind = 'address' AND NOT closed AND address_key IS NOT NULL)",
+}
+
+
+@query("catalog_integrity", f"WITH {S.CATALOG}, " + ", ".join(f"{n} AS MATERIALIZED ({q})" for n, q in DAMAGED.items()) + " " + " UNION ALL ".join([f"SELECT '{n}' AS \"check\", count(*) AS n FROM e WHERE {q}" for n, q in ALONE.items()] + [f"SELECT '{n}', ({q})" for n, q in APART.items()]))
+def catalog_integrity(spark, sf_dir):
+    """The faults of a damaged copy of the catalog, by 25 checks."""
+    e = places(spark, sf_dir)
+    p = catalog.postings(e)
+    made = {n: spark.sql(q.replace("FROM entities", "FROM {entities}").replace("FROM postings", "FROM {postings}").replace("FROM stats", "FROM {stats}"), entities=e, postings=p, stats=catalog.corpus_stats(e)) for n, q in DAMAGED.items()}
+    return integrity.catalog_checks(made["e"], made["p"], made["s"], made["a"])
+
+
+NUMBERS = "SELECT l_orderkey AS nr FROM lineitem"
+
+
+@query("contiguity", "SELECT min(nr) AS first, max(nr) AS last, CAST(count(*) AS BIGINT) AS n, max(nr) - min(nr) + 1 - count(DISTINCT nr) AS gaps, count(*) - count(DISTINCT nr) AS repeats FROM (" + NUMBERS + ")")
+def contiguity(spark, sf_dir):
+    """Whether the orders that lines name are numbered without gaps or repeats."""
+    return integrity.contiguity(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("nr")), "nr")
+
+
 FIELDS = ["name", "address", "alias", "parent", "class_name", "address_key"]
 
 

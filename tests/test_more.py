@@ -76,3 +76,22 @@ def test_snapping_rules(spark):
     edges = spark.createDataFrame(rows, schema)
     got = staging.snap_eligible(edges, edges.where("edge_id in (1, 3, 4, 5)"))
     assert sorted(r.edge_id for r in got.collect()) == [1, 2]
+
+
+def test_a_sound_catalog_has_no_faults_and_a_damaged_one_has(spark):
+    from plumbline.operators import catalog, integrity
+    from plumbline.plans.lookup import places
+    from plumbline.plans.queries import QUERIES
+
+    e = places(spark, "/root/testdata/sf0.001")
+    p, s, a = catalog.postings(e), catalog.corpus_stats(e), catalog.address_lookup(e)
+    sound = {r.check: r.n for r in integrity.catalog_checks(e, p, s, a).collect()}
+    assert len(sound) == 25 and not any(sound.values())
+    none = {r.check: r.n for r in integrity.catalog_checks(e.limit(0), p.limit(0), catalog.corpus_stats(e.limit(0)), a.limit(0)).collect()}
+    assert len(none) == 25 and not any(none.values())
+    damaged = {r.check: r.n for r in QUERIES["catalog_integrity"](spark, "/root/testdata/sf0.01").collect()}
+    assert [c for c, n in damaged.items() if not n] == ["entities_without_id"]
+    nameless = e.withColumn("id", F.when(F.col("k") != 100, F.col("id")))
+    assert {r.check for r in integrity.catalog_checks(nameless, p, s, a).collect() if r.n} >= {"entities_without_id", "postings_without_entity"}
+    rows = spark.createDataFrame([(x,) for x in (3, 4, 4, 7)], "nr long")
+    assert tuple(integrity.contiguity(rows, "nr").first()) == (3, 7, 4, 2, 1) and tuple(integrity.contiguity(rows.limit(0), "nr").first()) == (None, None, 0, 0, 0)
