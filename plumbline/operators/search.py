@@ -222,6 +222,36 @@ def nearest_addresses(viewports: DataFrame, entities: DataFrame, k: int = 8, met
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id")
 
 
+def viewport_words(viewports: DataFrame, entities: DataFrame, components: DataFrame, k: int = 8, metres: float = 5_000.0) -> DataFrame:
+    """(query_id, context): locality and region, normalized, of the first of a viewport's nearest addresses that has both.
+
+    ``components`` is (id, locality, region); of a locality with commas the last part counts. The
+    k nearest are taken in the plane and put in order on the sphere. Viewports without such an
+    address have no row.
+    """
+    centre = viewports.select("query_id", ((F.col("south") + F.col("north")) / 2).alias("c_lat"), centre_lng(F.col("west"), F.col("east")).alias("c_lng"))
+    near = nearest_addresses(viewports, entities, k, metres).join(centre, "query_id").join(entities.select("id", "lat", "lng"), "id").join(components, "id")
+    locality, region = normalize(F.element_at(F.split("locality", ","), -1)), normalize(F.col("region"))
+    away = F.round(distance(F.col("c_lat"), F.col("c_lng"), F.col("lat"), F.col("lng")), 6)
+    told = near.select("query_id", "id", away.alias("away"), locality.alias("l"), region.alias("r")).where("l <> '' and r <> ''")
+    first = told.groupBy("query_id").agg(F.min_by(F.concat_ws(" ", "l", "r"), F.struct("away", "id")).alias("context"))
+    return first.select("query_id", "context")
+
+
+def search_in_view(queries: DataFrame, contexts: DataFrame, postings: DataFrame, stats: DataFrame, limit: int = 5, contextual: int = 25, ascii_only: bool = False) -> DataFrame:
+    """(query_id, rank, id): what a query finds together with the words of its viewport, then what it finds alone.
+
+    ``contexts`` is what ``viewport_words`` gives. Both searches are one, over queries that carry
+    which of the two they are.
+    """
+    own = queries.withColumn("q", normalize(F.col("input"), ascii_only)).where(F.col("q") != "")
+    key = lambda source: F.struct("query_id", F.lit(source).alias("source")).alias("query_id")
+    both = own.join(contexts, "query_id").select(key(0), F.concat_ws(" ", "q", "context").alias("input")).unionAll(own.select(key(1), F.col("q").alias("input")))
+    found = posting_search(both, postings, stats, max(limit, contextual), ascii_only)
+    part = lambda source, n: found.where((F.col("query_id.source") == source) & (F.col("rank") <= n)).select("query_id.query_id", "rank", "id")
+    return merged_first([part(0, contextual), part(1, limit)], limit + contextual)
+
+
 def fuzzy_terms(words: DataFrame, tokens: DataFrame, most: int = 256, keep: int = 8, limit: int = 2) -> DataFrame:
     """(query_id, pos, term, edits): dictionary terms like a word of four letters or more.
 

@@ -246,6 +246,27 @@ def viewport_context_knn(spark, sf_dir):
     return search.nearest_addresses(literal(spark, AROUND, "query_id BIGINT, south DOUBLE, west DOUBLE, north DOUBLE, east DOUBLE"), places(spark, sf_dir))
 
 
+VIEWED = [(r[0], w) for r, w in zip(AROUND, ["building", "st", "machinery ave", "12", "nation", "furniture", "", "auto", "household rd", "us", "harbor", "zzzz", "lane", "1", "b", "red"], strict=True)]
+#: The parts of an address label after the first comma are its locality and region.
+ADDRESS_PARTS = "SELECT id, split_part(address, ', ', 2) AS locality, split_part(address, ', ', 3) AS region FROM entities WHERE kind = 'address'"
+
+
+@query("viewport_context_search", f"""WITH {S.CATALOG}, {S.values('v', AROUND, 'query_id, south, west, north, east')}, {S.values('typed_in', VIEWED, 'query_id, input')}, parts AS ({ADDRESS_PARTS}),
+c AS (SELECT query_id, (south + north) / 2 AS a, (west + east) / 2 AS b FROM v WHERE north - south > 0 AND north - south <= 2 AND east - west > 0 AND east - west <= 2),
+d AS (SELECT query_id, id, {S.metres('a', 'b', 'lat', 'lng')} AS m, round(pow(lat - a, 2) + pow((lng - b) * cos(radians(a)), 2), 12) AS d FROM c JOIN entities ON kind = 'address' AND NOT closed AND {S.metres('a', 'b', 'lat', 'lng')} <= 5000),
+n AS (SELECT query_id, round(m, 6) AS m, id, {S.norm('locality')} AS l, {S.norm('region')} AS r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM d) JOIN parts USING (id) WHERE rank <= 8),
+x AS (SELECT query_id, l || ' ' || r AS context FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY m, id) AS nth FROM n WHERE l <> '' AND r <> '') WHERE nth = 1),
+queries AS (SELECT query_id * 2 AS query_id, {S.norm('input')} || ' ' || context AS input FROM typed_in JOIN x USING (query_id) WHERE {S.norm('input')} <> '' UNION ALL SELECT query_id * 2 + 1, input FROM typed_in), {S.SEARCH},
+h0 AS (SELECT query_id // 2 AS query_id, rank, id FROM hits WHERE query_id % 2 = 0 AND rank <= 25), h1 AS (SELECT query_id // 2 AS query_id, rank, id FROM hits WHERE query_id % 2 = 1 AND rank <= 5),
+{S.merged('seen_first', ['h0', 'h1'], 30)} SELECT query_id, CAST(rank AS INTEGER) AS rank, id FROM seen_first""")
+def viewport_context_search(spark, sf_dir):
+    """What is typed, searched with the locality and region around the viewport and then without them."""
+    e, p, s = _catalog(spark, sf_dir)
+    views = literal(spark, AROUND, "query_id BIGINT, south DOUBLE, west DOUBLE, north DOUBLE, east DOUBLE")
+    words = search.viewport_words(views, e, spark.sql(ADDRESS_PARTS.replace("FROM entities", "FROM {entities}"), entities=e))
+    return search.search_in_view(literal(spark, VIEWED, SPEC), words, p, s, ascii_only=True)
+
+
 CLOSURE = f"closure AS (SELECT id, ancestor FROM (SELECT id, parent_id AS ancestor FROM entities WHERE parent_id IS NOT NULL UNION SELECT a.id, b.parent_id FROM entities a JOIN entities b ON a.parent_id = b.id WHERE b.parent_id IS NOT NULL UNION SELECT a.id, c.parent_id FROM entities a JOIN entities b ON a.parent_id = b.id JOIN entities c ON b.parent_id = c.id WHERE c.parent_id IS NOT NULL))"
 
 

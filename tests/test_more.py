@@ -95,3 +95,21 @@ def test_a_sound_catalog_has_no_faults_and_a_damaged_one_has(spark):
     assert {r.check for r in integrity.catalog_checks(nameless, p, s, a).collect() if r.n} >= {"entities_without_id", "postings_without_entity"}
     rows = spark.createDataFrame([(x,) for x in (3, 4, 4, 7)], "nr long")
     assert tuple(integrity.contiguity(rows, "nr").first()) == (3, 7, 4, 2, 1) and tuple(integrity.contiguity(rows.limit(0), "nr").first()) == (None, None, 0, 0, 0)
+
+
+def test_searches_with_the_words_of_a_viewport(spark):
+    from plumbline.operators import catalog, search
+
+    rows = [("a", "address", "1 Elm St", 10.0, 20.0), ("b", "address", "2 Oak St", 10.001, 20.0), ("c", "address", "3 Oak St Salem MA", 50.0, 20.0), ("d", "address", "9 Far St", 10.2, 20.0)]
+    raw = spark.createDataFrame(rows, "key string, kind string, name string, lat double, lng double")
+    raw = raw.withColumns({"subtype": F.lit(""), "address": F.lit(""), "alias": F.lit(""), "closed": F.lit(False), "parent": F.lit("")})
+    e = catalog.entities(raw)
+    parts = e.select("id", F.when(F.col("key") == "b", "Old Town, Salem").when(F.col("key") == "d", "Lynn").otherwise("").alias("locality"), F.lit("MA").alias("region"))
+    views = spark.createDataFrame([(1, 9.5, 19.5, 10.5, 20.5), (2, 0.0, 0.0, 60.0, 60.0), (3, -1.0, -1.0, 1.0, 1.0)], "query_id long, south double, west double, north double, east double")
+    words = search.viewport_words(views, e, parts)
+    assert [tuple(r) for r in words.collect()] == [(1, "salem ma")]  # a is nearer but lacks a locality, d is too far
+    typed = spark.createDataFrame([(1, "oak"), (2, "oak"), (3, " ")], "query_id long, input string")
+    key = {r.id: r.key for r in e.select("id", "key").collect()}
+    got = search.search_in_view(typed, words, catalog.postings(e), catalog.corpus_stats(e)).collect()
+    assert sorted((r.query_id, r.rank, key[r.id]) for r in got if r.query_id == 1) == [(1, 1, "c"), (1, 2, "b")]
+    assert {key[r.id] for r in got if r.query_id == 2} == {"b", "c"} and not [r for r in got if r.query_id == 3]
