@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.geo import DEGREE_METRES, distance, turn_between
-from plumbline.operators.lineage import cut
+from plumbline.operators.lineage import Tables, cut
 
 # The least dimension limits that let a car pass, by rule type.
 LIMITS = {1: 190, 2: 200, 3: 500, 4: 180, 5: 110}
@@ -48,18 +48,19 @@ def incoming(edges: DataFrame) -> DataFrame:
 def shortest(edges: DataFrame, sources: DataFrame, max_rounds: int = 1_000) -> DataFrame:
     """(source, node, cost) of the cheapest ways from each source (source) over (start_node, end_node, cost).
 
-    Each round relaxes only the nodes that got cheaper in the last one, and its result is cut
-    from its lineage by a checkpoint.
+    Each round relaxes only the nodes that got cheaper in the last one, over arcs that are made
+    once, and its result is a table of its own, which takes the place of the last one's.
     """
-    arcs = edges.groupBy("start_node", "end_node").agg(F.min("cost").alias("step"))
-    best = cut(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost")))
-    frontier = best
+    tables = Tables(edges.sparkSession)
+    arcs = tables.write(edges.groupBy("start_node", "end_node").agg(F.min("cost").alias("step")))
+    best = tables.write(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(None).cast("long").alias("old")).distinct())
     for _ in range(max_rounds):
-        reached = frontier.join(arcs, frontier["node"] == arcs["start_node"]).groupBy("source", F.col("end_node").alias("node")).agg(F.min(F.col("cost") + F.col("step")).alias("new"))
-        frontier = cut(reached.join(best, ["source", "node"], "left").where(F.col("cost").isNull() | (F.col("new") < F.col("cost"))).select("source", "node", F.col("new").alias("cost")))
+        frontier = best.where(F.col("old").isNull() | (F.col("cost") < F.col("old")))
         if frontier.isEmpty():
-            return best
-        best = cut(best.unionAll(frontier).groupBy("source", "node").agg(F.min("cost").alias("cost")))
+            return best.select("source", "node", "cost")
+        reached = frontier.join(arcs, frontier["node"] == arcs["start_node"]).select("source", F.col("end_node").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.lit(None).cast("long").alias("old"))
+        last, best = best, tables.write(best.withColumn("old", F.col("cost")).unionAll(reached).groupBy("source", "node").agg(F.min("cost").alias("cost"), F.min("old").alias("old")))
+        tables.drop(last)
     raise ValueError(f"no end after {max_rounds} rounds")
 
 
@@ -86,25 +87,26 @@ def directed(edges: DataFrame, pairs: DataFrame, costs: DataFrame, max_rounds: i
     the last one, but those whose cost and lower bound to the target come to more than the best
     way known, and those from which a landmark shows that the target cannot be reached.
     """
-    arcs = edges.groupBy("start_node", "end_node").agg(F.min("cost").alias("step"))
+    tables = Tables(edges.sparkSession)
+    arcs = tables.write(edges.groupBy("start_node", "end_node").agg(F.min("cost").alias("step")))
     targets = pairs.select("target").distinct()
     ends = targets.join(costs, targets["target"] == costs["node"]).select("landmark", "target", F.col("ahead").alias("t_ahead"), F.col("back").alias("t_back"))
     one = F.greatest(F.lit(0), F.col("t_ahead") - F.col("ahead"), F.col("back") - F.col("t_back"))
     # Whatever a landmark reaches from the node's side only, or reaches it from the target's only, has no way to the target.
     never = F.max((F.col("ahead").isNotNull() & F.col("t_ahead").isNull()) | (F.col("back").isNull() & F.col("t_back").isNotNull()))
-    bounds = cut(costs.join(ends, "landmark").groupBy("node", "target").agg(F.max(one).cast("long").alias("bound"), never.alias("never")))
-    best = cut(pairs.select("source", "target", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost")))
-    frontier = best
+    bounds = tables.write(costs.join(ends, "landmark").groupBy("node", "target").agg(F.max(one).cast("long").alias("bound"), never.alias("never")))
+    best = tables.write(pairs.select("source", "target", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(None).cast("long").alias("old")).distinct())
     for _ in range(max_rounds):
         known = best.where(F.col("node") == F.col("target")).select("source", "target", F.col("cost").alias("held"))
-        reached = frontier.join(arcs, frontier["node"] == arcs["start_node"]).groupBy("source", "target", F.col("end_node").alias("node")).agg(F.min(F.col("cost") + F.col("step")).alias("new"))
-        better = reached.join(best, ["source", "target", "node"], "left").where(F.col("cost").isNull() | (F.col("new") < F.col("cost"))).select("source", "target", "node", F.col("new").alias("cost"))
-        may = better.join(bounds, ["node", "target"], "left").join(known, ["source", "target"], "left")
-        may = may.where(~F.coalesce("never", F.lit(False)) & (F.col("held").isNull() | (F.col("cost") + F.coalesce("bound", F.lit(0)) <= F.col("held"))))
-        frontier = cut(may.select("source", "target", "node", "cost"))
+        frontier = best.where(F.col("old").isNull() | (F.col("cost") < F.col("old")))
         if frontier.isEmpty():
             return known.select("source", "target", F.col("held").alias("cost"))
-        best = cut(best.unionAll(frontier).groupBy("source", "target", "node").agg(F.min("cost").alias("cost")))
+        reached = frontier.join(arcs, frontier["node"] == arcs["start_node"]).groupBy("source", "target", F.col("end_node").alias("node")).agg(F.min(F.col("cost") + F.col("step")).alias("cost"))
+        may = reached.join(bounds, ["node", "target"], "left").join(known, ["source", "target"], "left")
+        may = may.where(~F.coalesce("never", F.lit(False)) & (F.col("held").isNull() | (F.col("cost") + F.coalesce("bound", F.lit(0)) <= F.col("held"))))
+        may = may.select("source", "target", "node", "cost", F.lit(None).cast("long").alias("old"))
+        last, best = best, tables.write(best.withColumn("old", F.col("cost")).unionAll(may).groupBy("source", "target", "node").agg(F.min("cost").alias("cost"), F.min("old").alias("old")))
+        tables.drop(last)
     raise ValueError(f"no end after {max_rounds} rounds")
 
 

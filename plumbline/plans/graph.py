@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import routing, staging
+from plumbline.operators.lineage import cut
 from plumbline.plans import sql as S
 from plumbline.plans.lookup import query
 from plumbline.sources.roads import GRAPH_SQL, graph
@@ -64,6 +65,7 @@ p AS (SELECT s_suppkey AS origin, (s_suppkey * 7 + 3) % (SELECT count(*) FROM su
 SELECT origin, target, CAST(max(greatest(0, coalesce(t.ahead - o.ahead, 0), coalesce(o.back - t.back, 0))) AS BIGINT) AS bound FROM p JOIN l o ON o.node = origin JOIN l t ON t.node = target AND t.landmark = o.landmark GROUP BY origin, target""")
 def landmark_bounds(spark, sf_dir):
     edges, nodes = _open(spark, sf_dir)
+    edges = cut(edges.select("start_node", "end_node", "cost"))
     n = nodes.agg(F.count("*").alias("n"))
     pairs = nodes.crossJoin(F.broadcast(n)).select(F.col("node_id").alias("origin"), ((F.col("node_id") * 7 + 3) % F.col("n")).alias("target"))  # one row
     return routing.landmark_bounds(pairs, routing.landmark_costs(edges, _sources(spark).withColumnRenamed("source", "source")))

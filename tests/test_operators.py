@@ -427,3 +427,20 @@ def test_house_numbers_and_units(spark):
     units = ["Apt 4, 12 Main", "12 Main #2", "Suite", "unitary way", "12 floor_x", "FL. 3", "aptos", "", "ste"]
     got = [r.k for r in spark.createDataFrame([(i, x) for i, x in enumerate(units)], "i int, x string").orderBy("i").select(text.names_unit(F.col("x")).alias("k")).collect()]
     assert got == [True, True, True, False, False, True, False, False, True]
+
+
+def test_searches_read_their_edges_once(spark):
+    line = [(i, i, i + 1, 1) for i in range(20)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for x in rows:
+            read.add(1)
+            yield x
+
+    schema = "edge_id long, start_node long, end_node long, cost long"
+    edges = spark.createDataFrame(spark.sparkContext.parallelize(line, 1).mapPartitions(seen), schema)
+    found = routing.shortest(edges, spark.createDataFrame([(0,)], "source long"))
+    # More than the 14 rounds of the queries' SQL: a way of 20 edges has its cost.
+    assert {(x.node, x.cost) for x in found.collect()} == {(i, i) for i in range(21)}
+    assert read.value == len(line)
