@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.geo import distance
+from plumbline.functions.geo import DEGREE_METRES, distance
 from plumbline.functions.text import public_id
 
 LINK_METRES = 50.0
@@ -60,11 +60,23 @@ def unique_links(businesses: DataFrame, addresses: DataFrame, metres: float = LI
 
     Only a business with a single match is linked; ``address_key`` is null for the others.
     """
-    b = businesses.select("source_key", "label", "postcode", F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"))
-    a = addresses.select(F.col("source_key").alias("address"), "label", "postcode", "lat", "lng")
-    hits = b.join(a, ["label", "postcode"]).where(distance(F.col("b_lat"), F.col("b_lng"), F.col("lat"), F.col("lng")) <= metres)
-    found = hits.groupBy("source_key").agg(F.count("*").alias("matches"), F.min("address").alias("one"))
-    return found.select("source_key", "matches", F.when(F.col("matches") == 1, F.col("one")).alias("address_key"))
+    key, place = ["label", "postcode"], ["lat", "lng"]
+    # Records of one label at one point have the same links, so points meet, not records; those without a point or a label have none.
+    spots = addresses.dropna(subset=[*key, *place]).groupBy(*key, *place).agg(F.count("*").alias("n"), F.min("source_key").alias("one"))
+    asked = businesses.select(*key, F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng")).dropna().distinct()
+    # A point meets the cells of a box that is a little wider than its reach; longitudes go round.
+    up = metres / DEGREE_METRES * 1.001
+    size = max(int(0.5 / up), 1)  # cells to a degree
+    cell = lambda c: F.floor(c * size).cast("long")
+    wide = F.least(F.lit(180.0), up / F.greatest(F.cos(F.radians(F.least(F.abs("b_lat") + up, F.lit(90.0)))), F.lit(1e-9)))
+    near = asked.withColumn("cy", F.explode(F.sequence(cell(F.col("b_lat") - up), cell(F.col("b_lat") + up))))
+    near = near.withColumn("cx", F.explode(F.array_distinct(F.transform(F.sequence(cell(F.col("b_lng") - wide), cell(F.col("b_lng") + wide)), lambda c: F.pmod(c, F.lit(360 * size))))))
+    there = spots.withColumns({"cy": cell(F.col("lat")), "cx": F.pmod(cell(F.col("lng")), F.lit(360 * size))})
+    hits = near.join(there, [*key, "cy", "cx"]).where(distance(F.col("b_lat"), F.col("b_lng"), F.col("lat"), F.col("lng")) <= metres)
+    found = hits.groupBy(*key, "b_lat", "b_lng").agg(F.sum("n").alias("matches"), F.min("one").alias("one"))
+    own = businesses.select("source_key", *key, F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"))
+    own = own.join(found, [*key, "b_lat", "b_lng"]).groupBy("source_key").agg(F.sum("matches").alias("matches"), F.min("one").alias("one"))
+    return own.select("source_key", "matches", F.when(F.col("matches") == 1, F.col("one")).alias("address_key"))
 
 
 def duplicates(rows: DataFrame, *keys: str) -> DataFrame:

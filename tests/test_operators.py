@@ -444,3 +444,22 @@ def test_searches_read_their_edges_once(spark):
     # More than the 14 rounds of the queries' SQL: a way of 20 edges has its cost.
     assert {(x.node, x.cost) for x in found.collect()} == {(i, i) for i in range(21)}
     assert read.value == len(line)
+
+
+def test_links_meet_points_and_not_records(spark):
+    r = random.Random(3)
+    schema = "source_key string, label string, postcode string, lat double, lng double"
+    spots = [(41 + r.random() * 0.002, lng + r.random() * 0.002) for lng in (-71.0, 179.999, -180.0) for _ in range(15)]
+    rows = lambda kind, n: [(f"{kind}{i}", r.choice("ab"), r.choice(["1", None]), *r.choice(spots)) for i in range(n)]
+    businesses, addresses = rows("b", 60), rows("a", 150)
+    wrap = lambda x: x - 360 if x > 180 else x
+    businesses, addresses = ([(*x[:4], wrap(x[4])) for x in side] for side in (businesses, addresses))
+    sphere = lambda a, b: 2 * 6_371_008.8 * math.asin(math.sqrt(math.sin(math.radians(b[3] - a[3]) / 2) ** 2 + math.cos(math.radians(a[3])) * math.cos(math.radians(b[3])) * math.sin(math.radians(b[4] - a[4]) / 2) ** 2))
+    want = {}
+    for b in businesses:
+        near = [a[0] for a in addresses if a[1] == b[1] and a[2] == b[2] == "1" and sphere(a, b) <= 50]
+        if near:
+            want[b[0]] = (len(near), near[0] if len(near) == 1 else None)
+    links = resolve.unique_links(spark.createDataFrame(businesses, schema), spark.createDataFrame(addresses, schema))
+    assert len(want) > 10 and {x.source_key: (x.matches, x.address_key) for x in links.collect()} == want
+    assert "cx" in links._jdf.queryExecution().optimizedPlan().toString()  # an equi-join on cells
