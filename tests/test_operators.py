@@ -463,3 +463,14 @@ def test_links_meet_points_and_not_records(spark):
     links = resolve.unique_links(spark.createDataFrame(businesses, schema), spark.createDataFrame(addresses, schema))
     assert len(want) > 10 and {x.source_key: (x.matches, x.address_key) for x in links.collect()} == want
     assert "cx" in links._jdf.queryExecution().optimizedPlan().toString()  # an equi-join on cells
+
+
+def test_a_ladder_makes_each_rung_once(spark):
+    from plumbline.operators import ladder
+    from plumbline.plans.lookup import literal, places
+    from plumbline.plans.more import TYPED
+
+    e = places(spark, "/root/testdata/sf0.001")
+    p, s = catalog.postings(e), catalog.corpus_stats(e)
+    out = ladder.ladder(literal(spark, TYPED[:3], "query_id BIGINT, input STRING"), e, p, s)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("customer") <= 2 and {x.rung for x in out.collect()} <= {1, 2, 3}
