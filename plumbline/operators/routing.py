@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.geo import DEGREE_METRES, distance, turn_between
-from plumbline.operators.lineage import Tables, cut
+from plumbline.operators.lineage import Tables, cut, released
+from plumbline.operators.snapping import COARSE, candidates
 
 # The least dimension limits that let a car pass, by rule type.
 LIMITS = {1: 190, 2: 200, 3: 500, 4: 180, 5: 110}
 CLOSED_USES = (3, 7)
 LAST_USE, TOP_SPEED = 11, 140
+#: Edges, or points, of a tile that one group holds.
+PART_ROWS = 250_000
 
 
 def cost(length: Column, speed: Column) -> Column:
@@ -247,39 +250,51 @@ def verified_paths(steps: DataFrame, edges: DataFrame, best: DataFrame) -> DataF
 def snapped(points: DataFrame, edges: DataFrame, nodes: DataFrame, metres: float = 100.0) -> DataFrame:
     """(query_id, edge_id, metres): the nearest edge of (query_id, lat, lng) within reach, ties by id.
 
-    Cells of the grid are twice the reach wide. Edges go into every cell that they cross, points
-    into those that their circle meets; both wrap at the antimeridian, over which edges go the
-    short way. The distance is that to the segment in the plane at the point. Which edges a point
-    may snap to is the caller's choice (``staging.snap_eligible``).
+    Tiles are some dozens of reaches wide. Edges go into every tile that they cross, points into
+    those that their circle meets; both wrap at the antimeridian, over which edges go the short
+    way. Tiles with many rows are cut into parts of both. Points of the same place are one. The
+    distance is that to the segment in the plane at the point. Which edges a point may snap to
+    is the caller's choice (``staging.snap_eligible``).
     """
     at = lambda end: nodes.select(F.col("node_id").alias(f"{end}_node"), F.col("lat").alias(f"{end}_lat"), F.col("lng").alias(f"{end}_lng"))
+    tables = Tables(edges.sparkSession)
     # Edges of the same ends are one segment, of which the smallest id counts.
     own = edges.groupBy("start_node", "end_node").agg(F.min("edge_id").alias("edge_id")).join(at("start"), "start_node").join(at("end"), "end_node")
     own = own.select("edge_id", F.col("start_lat").alias("y1"), F.col("start_lng").alias("x1"), F.col("end_lat").alias("y2"), (F.col("start_lng") + turn_between(F.col("start_lng"), F.col("end_lng"))).alias("x2"))
+    own = tables.write(own.groupBy("y1", "x1", "y2", "x2").agg(F.min("edge_id").alias("edge_id")))
+    released(edges.sparkSession)
     up = metres / DEGREE_METRES * 1.001
-    size = max(int(0.5 / up), 1)  # cells to a degree
-    cell = lambda c: F.floor(c * size).cast("long")
-    wrapped = lambda c: F.pmod(c, F.lit(360 * size))
+    size = max(int(0.5 / up / COARSE), 1)  # tiles to a degree
+    around = 360 * size
+    tile = lambda c: F.floor(c * size).cast("long")
+    placed = lambda rows: rows.withColumns({"tx": F.pmod(F.col("cx"), F.lit(around)), "turn": F.floor(F.col("cx") / around)}).drop("cx")
     y1, y2, x1, x2 = (F.col(c) for c in ("y1", "y2", "x1", "x2"))
-    rows = own.select("*", F.explode(F.sequence(cell(F.least(y1, y2)), cell(F.greatest(y1, y2)))).alias("cy"))
-    low, high = F.greatest(F.least(y1, y2), F.col("cy") / size), F.least(F.greatest(y1, y2), (F.col("cy") + 1) / size)
+    rows = own.select("*", F.explode(F.sequence(tile(F.least(y1, y2)), tile(F.greatest(y1, y2)))).alias("ty"))
+    low, high = F.greatest(F.least(y1, y2), F.col("ty") / size), F.least(F.greatest(y1, y2), (F.col("ty") + 1) / size)
     x = lambda y, flat: F.when(y1 == y2, flat).otherwise(x1 + (x2 - x1) * (y - y1) / F.when(y1 != y2, y2 - y1))
-    own = rows.select("*", x(low, x1).alias("a"), x(high, x2).alias("b"))
-    own = own.select("edge_id", "y1", "x1", "y2", "x2", "cy", F.explode(F.sequence(cell(F.least("a", "b")), cell(F.greatest("a", "b")))).alias("cx")).withColumn("cx", wrapped(F.col("cx")))
+    lines = rows.select("*", x(low, x1).alias("a"), x(high, x2).alias("b"))
+    lines = placed(lines.select("edge_id", "y1", "x1", "y2", "x2", "ty", F.explode(F.sequence(tile(F.least("a", "b")), tile(F.greatest("a", "b")))).alias("cx")))
     wide = F.least(F.lit(180.0), up / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + up, F.lit(90.0)))), F.lit(1e-9)))
-    asked = points.select("query_id", "lat", "lng", F.explode(F.sequence(cell(F.col("lat") - up), cell(F.col("lat") + up))).alias("cy"), wide.alias("wide"))
-    asked = asked.select("query_id", "lat", "lng", "cy", F.explode(F.sequence(cell(F.col("lng") - F.col("wide")), cell(F.col("lng") + F.col("wide")))).alias("cx")).withColumn("cx", wrapped(F.col("cx"))).distinct()
-    hits = asked.join(own, ["cy", "cx"])
+    asked = points.select("lat", "lng").dropna().distinct().select("lat", "lng", wide.alias("wide"), F.explode(F.sequence(tile(F.col("lat") - up), tile(F.col("lat") + up))).alias("ty"))
+    asked = placed(asked.select("*", F.explode(F.sequence(tile(F.col("lng") - F.col("wide")), tile(F.col("lng") + F.col("wide")))).alias("cx")))
+    # Parts of a tile: each part of its edges meets each part of its points.
+    parts = lambda rows, name: rows.groupBy("ty", "tx").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias(name))
+    shared = tables.write(parts(lines, "n_edges").join(parts(asked, "n_points"), ["ty", "tx"]))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
+    key = ["ty", "tx", "p", "q"]
+    lines = lines.join(shared, ["ty", "tx"]).withColumn("p", part("n_edges", "edge_id")).withColumn("q", each("n_points")).drop("n_edges", "n_points")
+    asked = asked.join(shared, ["ty", "tx"]).withColumn("q", part("n_points", "lat", "lng")).withColumn("p", each("n_edges")).drop("n_edges", "n_points")
+    meet = lambda p, e: candidates(p, e, 1 / size, up)
+    hits = asked.groupBy(*key).cogroup(lines.groupBy(*key)).applyInPandas(meet, "lat double, lng double, edge_id long, y1 double, x1 double, y2 double, x2 double")
     shrink = F.cos(F.radians("lat"))
     ax, ay = turn_between(F.col("lng"), x1) * shrink, y1 - F.col("lat")
     dx, dy = (x2 - x1) * shrink, y2 - y1
     along = F.when((dx == 0) & (dy == 0), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(ax * dx + ay * dy) / (dx * dx + dy * dy))))
-    hits = hits.withColumns({"t": along, "ax": ax, "ay": ay, "dx": dx, "dy": dy})
-    # In the plane first, with some room, as the sphere's distance costs more.
-    hits = hits.where(F.pow(F.col("ax") + F.col("t") * F.col("dx"), 2) + F.pow(F.col("ay") + F.col("t") * F.col("dy"), 2) <= (1.1 * up) ** 2)
+    hits = hits.withColumn("t", along)
     hits = hits.withColumn("metres", F.round(distance(F.col("lat"), F.col("lng"), y1 + (y2 - y1) * F.col("t"), x1 + (x2 - x1) * F.col("t")), 3)).where(F.col("metres") <= metres)
-    best = hits.groupBy("query_id").agg(F.min(F.struct("metres", "edge_id")).alias("best"))
-    return best.select("query_id", "best.edge_id", "best.metres")
+    best = hits.groupBy("lat", "lng").agg(F.min(F.struct("metres", "edge_id")).alias("best"))
+    return points.select("query_id", "lat", "lng").join(best, ["lat", "lng"]).groupBy("query_id").agg(F.min("best").alias("best")).select("query_id", "best.edge_id", "best.metres")
 
 
 def audit(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import routing, staging
-from plumbline.operators.lineage import cut
+from plumbline.operators.lineage import cut, released
 from plumbline.plans import sql as S
 from plumbline.plans.lookup import query
 from plumbline.sources.roads import GRAPH_SQL, graph
@@ -180,6 +180,8 @@ def snap_points(spark, sf_dir):
     from plumbline.sources.places_view import read
 
     edges, nodes = _open(spark, sf_dir)
+    edges = cut(edges.select("edge_id", "start_node", "end_node", "class", "shortcut"))
+    released(spark)
     points = read(spark, sf_dir, "customer").selectExpr("c_custkey AS query_id", "24 + CAST(c_custkey * 7919 % 2600 AS DOUBLE) / 10000 AS lat", "-125 + CAST(c_custkey * 104729 % 5900 AS DOUBLE) / 10000 AS lng")
     bare = edges.withColumns({"bridge": F.lit(False), "tunnel": F.lit(False)})
     return routing.snapped(points, staging.snap_eligible(bare, edges), nodes)

@@ -465,6 +465,16 @@ def test_links_meet_points_and_not_records(spark):
     assert "cx" in links._jdf.queryExecution().optimizedPlan().toString()  # an equi-join on cells
 
 
+def test_a_crowded_tile_is_cut_into_parts(spark, monkeypatch):
+    r = random.Random(8)
+    nodes = spark.createDataFrame([(i, 60 + r.random() * 0.02, 5 + r.random() * 0.04) for i in range(60)], "node_id long, lat double, lng double")
+    edges = spark.createDataFrame([(i, r.randrange(60), r.randrange(60)) for i in range(400)], "edge_id long, start_node long, end_node long")
+    points = spark.createDataFrame([(i, 60 + i % 50 * 0.0004, 5 + i % 50 * 0.0008) for i in range(200)], "query_id long, lat double, lng double")
+    whole = {(x.query_id, x.edge_id, x.metres) for x in routing.snapped(points, edges, nodes).collect()}
+    monkeypatch.setattr(routing, "PART_ROWS", 20)
+    assert len(whole) > 100 and {(x.query_id, x.edge_id, x.metres) for x in routing.snapped(points, edges, nodes).collect()} == whole
+
+
 def test_a_ladder_makes_each_rung_once(spark):
     from plumbline.operators import ladder
     from plumbline.plans.lookup import literal, places
