@@ -525,6 +525,40 @@ def test_a_passage_that_many_documents_quote_bits_of(spark):
     assert all(got[i].n_repeated == 0 for i, _ in rows[2:])
 
 
+def test_a_passage_whose_seeds_all_have_other_holders(spark, monkeypatch):
+    monkeypatch.setattr(passages, "BUCKET_BYTES", 4_000)
+    held_by_others(spark, 9000)
+
+
+def held_by_others(spark, seed):
+    rows, passage = [], prose(seed, 80, 10**6).split()
+    for i, text in ((500, passage), (900, edited(" ".join(passage), range(7, 80, 8)).split())):
+        rows.append((i, f"{prose(seed + 100 + i, 40, 10**6)} {' '.join(text)} {prose(seed + 1100 + i, 40, 10**6)}"))
+    for i in range(10):  # the words between two edits, in documents before, between and after the two
+        for j, at in enumerate((100, 101, 102, 600, 601, 602, 603, 950)):
+            rows.append((at + 10 * i, f"{prose(seed + 2100 + 20 * i + j, 30, 10**6)} {' '.join(passage[8 * i : 8 * i + 7])} {prose(seed + 2400 + 20 * i + j, 30, 10**6)}"))
+    got = removed(spark, rows)
+    assert got[500].n_repeated >= 72 and got[500].n_removed == 0
+    assert got[900].n_removed >= 72 and got[900].n_spans == 1
+    assert all(got[i].n_repeated == 0 for i, _ in rows[2:])
+
+
+def test_a_passage_that_stays_for_one_document_goes_for_another(spark):
+    """The middle one of three documents is the first of a passage's holders in one pair and the second in another."""
+    rows, passage = [], prose(9500, 80, 10**6).split()
+    for i, cut in ((1, range(0, 80, 8)), (2, []), (3, range(4, 80, 8))):
+        rows.append((i, f"{prose(9600 + i, 40, 10**6)} {edited(' '.join(passage), cut)} {prose(9700 + i, 40, 10**6)}"))
+    got = removed(spark, rows)
+    assert got[1].n_removed == 0 and got[2].n_removed >= 72 and got[3].n_removed >= 72
+
+
+def test_pairs_that_are_not_settled():
+    group, state = np.array([0, 0, 0, 0, 1, 1, 1]), np.array([1, 2, 0, 2, 2, 1, 2])
+    whole = np.ones(7, bool)
+    got = {(int(a), int(b)) for later, earlier in passages._unsettled(group, state, whole, whole) for a, b in zip(later, earlier, strict=True)}
+    assert got == {(a, b) for a in range(7) for b in range(a) if group[a] == group[b] and not (state[b] >= 1 and state[a] == 2)}
+
+
 def test_a_passage_of_a_repeated_phrase(spark):
     rows = []
     for i, n in enumerate((6, 10, 15)):
