@@ -530,6 +530,13 @@ def test_a_passage_whose_seeds_all_have_other_holders(spark, monkeypatch):
     held_by_others(spark, 9000)
 
 
+@pytest.mark.parametrize("seed", [15000, 18000])
+def test_a_passage_whose_frequent_seeds_all_have_other_holders(spark, monkeypatch, seed):
+    for name, value in (("OFTEN", 2), ("LOOKED_AT", 1), ("BUCKET_BYTES", 4_000)):
+        monkeypatch.setattr(passages, name, value)
+    held_by_others(spark, seed)
+
+
 def held_by_others(spark, seed):
     rows, passage = [], prose(seed, 80, 10**6).split()
     for i, text in ((500, passage), (900, edited(" ".join(passage), range(7, 80, 8)).split())):
