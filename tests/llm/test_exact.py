@@ -575,6 +575,40 @@ def test_a_passage_of_a_repeated_phrase(spark):
     assert [got[10 * i + 1].n_removed for i in range(3)] == [120] * 3
 
 
+def test_runs_of_one_word_repeat_whatever_their_lengths(spark):
+    rows = []
+    for i, run in {1: ["ha"] * 38, 2: ["Ha"] * 45, 3: ["ha"] * 100, 4: ["ha"] * 60, 5: ["ha", "ha", "ha", "ha", "uh"] * 12, 6: ["ho"] * 70}.items():
+        rows.append((i, f"{prose(16000 + i, 40, 10**6)} {' '.join(run)} {prose(16100 + i, 40, 10**6)}"))
+    rows.append((7, " ".join(["hi"] * 50 + prose(16200, 30, 10**6).split() + ["hi"] * 90)))
+    rows.append((8, " ".join(["hi"] * 50)))
+    got = removed(spark, rows)
+    assert [got[i].n_removed for i in range(1, 8)] == [0, 0, 100, 60, 59, 0, 0]
+    assert [got[i].n_repeated for i in range(1, 9)] == [0, 45, 100, 60, 59, 0, 140, 50]
+    assert got[8].n_removed == 50
+
+
+def test_runs_of_one_word_alone_make_no_couples():
+    """Documents that share nothing but a short run of a word do not meet, however many they are; what stands beside the run counts."""
+    import pyarrow as pa
+
+    texts = [f"{prose(17000 + i, 20, 10**6)} {'so ' * 24} {prose(17100 + i % 5, 20, 10**6)}" for i in range(10)]
+    found = list(passages.seeds(pa.array(texts), passages.WORDS, passages.WINDOW))
+    t, x = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    u = np.repeat(np.arange(10), [len(f[0]) for f in found])
+    assert ((t & passages.PURE == 1) == [texts[a].split()[b : b + 4] == ["so"] * 4 for a, b in zip(u, x, strict=True)]).all()
+    none = np.zeros(len(t), np.int64)
+    key, doc, *_ = passages._couples(t, u, u, x, none, u, np.ones(len(t), bool))
+    met = {(int(a), int(b)) for k in np.unique(key) for a in doc[key == k] for b in doc[key == k] if a < b}
+    assert met == {(i, i + 5) for i in range(5)}
+
+
+def test_texts_that_are_too_short_for_a_passage_have_no_seeds():
+    import pyarrow as pa
+
+    texts = [prose(17500, 39, 10**6), prose(17501, 40, 10**6), "", None]
+    assert [len(f[0]) > 0 for f in passages.seeds(pa.array(texts), passages.WORDS, passages.WINDOW, passages.MIN_WORDS)] == [False, True, False, False]
+
+
 def local_alignment(a, b):
     """The words of either side in the best local alignment, where a match is worth as much as LIKE makes of a miss."""
     score = np.zeros((len(a) + 1, len(b) + 1))
