@@ -602,6 +602,31 @@ def test_runs_of_one_word_alone_make_no_couples():
     assert met == {(i, i + 5) for i in range(5)}
 
 
+def test_couples_outside_of_passages_are_made_once():
+    """Two seeds outside of passages make one couple, not one for each of them and for each seed between; all of a seed go to its bucket."""
+    t = (np.arange(1, 17, dtype=np.uint64) * np.uint64(2**56)) & ~passages.PURE
+    x, none = np.arange(16) * 3, np.zeros(16, np.int64)
+    key, _, _, i, j, _, _, token = passages._couples(t, none, none, x, none, none, np.ones(16, bool))
+    pairs = [(a, b) for a in x for b in x if passages.APART <= b - a <= passages.COUPLED]
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(pairs) and len(set(key.tolist())) == len(pairs)
+    assert (token == t[i // 3]).all()
+    # A seed in a passage that goes may be settled where the other is not, so each of the two makes the couple.
+    state = np.where(x == 0, 2, 0)
+    _, _, _, i, j, _, _, _ = passages._couples(t, none, none, x, state, none, np.ones(16, bool))
+    assert {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a > b} == {(b, a) for a, b in pairs if a == 0}
+
+
+def test_matches_in_blobs():
+    r = np.random.default_rng(5)
+    uid, mate = r.integers(-(2**63), 2**63 - 1, (2, 9))[:, r.integers(0, 9, 500)]
+    first, x, y = r.integers(0, 2, 500).astype(bool), *r.integers(0, 2**20, (2, 500))
+    at, blobs = passages._met(uid, mate, first, x, y, 4)
+    got = [passages._met_read([b]) for b in blobs]
+    assert at == sorted(set((uid % 4).tolist())) and all((g[0] % 4 == a).all() for a, g in zip(at, got, strict=True))
+    assert sorted(zip(*passages._met_read(blobs), strict=True)) == sorted(zip(uid, mate, first, x, y, strict=True))
+    assert passages._met(*[v[:0] for v in (uid, mate, first, x, y)], 4) == ([], [])
+
+
 def test_texts_that_are_too_short_for_a_passage_have_no_seeds():
     import pyarrow as pa
 
