@@ -103,7 +103,7 @@ class Words:
 
 
 #: A stop or comma that follows another sign is one piece with it.
-TOUCHING = re.compile(r"(?:[^\w\s]|_)[,.](?:[ \n]|$)")
+TOUCHING = re.compile(r"[,.](?=[ \n]|$)(?<=(?:[^\w\s]|_)[,.])")
 
 
 def apart(text: str) -> str:
@@ -136,14 +136,15 @@ def pieces(docs: DataFrame, path: str, room: int = ROOM) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 out: list[tuple] = []
-                for doc_id, ids in zip(some.column(0).to_pylist(), words.ids([x or "" for x in some.column(1).to_pylist()]), strict=True):
+                rows = zip(some.column(0).to_pylist(), words.ids([x or "" for x in some.column(1).to_pylist()]), strict=True)
+                for doc_id, ids in rows:
                     ids += end
                     for k, start in enumerate(range(0, len(ids) // 4, room)):
                         own = ids[4 * start : 4 * (start + room)]
                         n = len(own) // 4
                         out.append((doc_id, k, start, n, zlib.crc32(own), part, int(seen[n])))
                         seen[n] += 1
-                yield pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, x, strict=True)) for x in out], SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
 

@@ -259,6 +259,16 @@ def test_packing_round_trip(spark):
     assert len(by) <= 1.02 * sum(r.length for r in got) / 256 + 1
 
 
+def test_stops_that_touch_another_sign():
+    """The scan from stop to stop finds what one over all signs does, at the ends of lines and of the text too."""
+    import re
+
+    signs, r = re.compile(r"(?:[^\w\s]|_)[,.](?:[ \n]|$)"), random.Random(31)
+    for _ in range(20_000):
+        text = "".join(r.choice("ab_.,!é \n") for _ in range(r.randrange(9)))
+        assert bool(packing.TOUCHING.search(text)) == bool(signs.search(text)), text
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_packing_reaches_the_bound_of_best_fit_or_better(spark, sf):
     rows = packing.op7_best_fit_packing(spark, f"/root/testdata/{sf}").select("sequence_id", "length").collect()
