@@ -7,8 +7,9 @@ destination) and costs are whole milliseconds, so that sums are exact.
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.geo import DEGREE_METRES, distance, turn_between
@@ -237,6 +238,118 @@ def paths(edges: DataFrame, best: DataFrame, targets: DataFrame, max_rounds: int
     raise ValueError(f"ways are longer than {max_rounds} edges")
 
 
+def within(arcs: DataFrame, labels: DataFrame, tables: Tables, max_rounds: int) -> DataFrame:
+    """``labels`` (back, root, radius, node, best, old) and all that arcs (back, at, to, step, edge_id) reach from them within their radius.
+
+    ``best`` is (cost, edge_id, came): the cost, and the edge of smallest id by which the cheapest way comes, from which node.
+    """
+    cheaper = F.col("old").isNull() | (F.col("best.cost") < F.col("old"))
+    for _ in range(max_rounds):
+        on = labels.where(cheaper).withColumnRenamed("back", "b").join(arcs, (F.col("b") == F.col("back")) & (F.col("node") == F.col("at")))
+        on = on.where(F.col("best.cost") + F.col("step") <= F.col("radius"))
+        best = F.struct((F.col("best.cost") + F.col("step")).alias("cost"), "edge_id", F.col("at").alias("came"))
+        reached = on.select("back", "root", "radius", F.col("to").alias("node"), best.alias("best"), F.lit(None).cast("long").alias("old"))
+        held = labels.withColumn("old", F.col("best.cost")).unionByName(reached)
+        held, left = held.groupBy("back", "root", "node").agg(F.max("radius").alias("radius"), F.min("best").alias("best"), F.min("old").alias("old")), Observation()
+        last, labels = labels, tables.write(held.observe(left, F.count_if(cheaper).alias("n")))
+        tables.drop(last)
+        if not left.get["n"]:
+            return labels
+    raise ValueError(f"no end after {max_rounds} rounds")
+
+
+def met(arcs: DataFrame, labels: DataFrame, asked: DataFrame) -> DataFrame:
+    """(source, target, held): the cheapest way of each pair (source, target, ahead, behind) over one arc or none between its two searches."""
+    caps = asked.groupBy("source").agg((F.max("ahead") + F.max("behind")).alias("cap"))
+    own = labels.where(~F.col("back")).select(F.col("root").alias("source"), "node", F.col("best.cost").alias("cost"))
+    out = own.join(caps, "source").join(arcs.where(~F.col("back")), F.col("node") == F.col("at")).where(F.col("cost") + F.col("step") <= F.col("cap"))
+    there = own.unionAll(out.select("source", F.col("to").alias("node"), (F.col("cost") + F.col("step")).alias("cost"))).groupBy("source", "node").agg(F.min("cost").alias("cost"))
+    home = labels.where("back").select(F.col("root").alias("target"), "node", F.col("best.cost").alias("rest"))
+    return asked.select("source", "target").join(home, "target").join(there, ["source", "node"]).groupBy("source", "target").agg(F.min(F.col("cost") + F.col("rest")).alias("held"))
+
+
+def ways_between(edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(source, target, step, edge_id): the cheapest way of each pair (source, target), step 0 being its last edge, as ``paths`` over ``shortest`` has it.
+
+    Searches go from the sources and, against the edges, from the targets, each up to a radius. A
+    way no longer than the two radii of its pair has one arc or none between both searches, so the
+    best that is found there is the cheapest. Else they go on, half as far again or to half of
+    the best way known, or twice as far if none is, until a way is found or one of both has no edge left. So labels are
+    those of two balls of about half the way for a pair, not all nodes for a source.
+    """
+    spark = edges.sparkSession
+    tables = Tables(spark)
+    one = edges.where(F.col("start_node") != F.col("end_node")).groupBy("start_node", "end_node").agg(F.min(F.struct("cost", "edge_id")).alias("e"))
+    one = tables.write(one.select("start_node", "end_node", F.col("e.cost").alias("step"), "e.edge_id"))
+    # Where edges cost nothing, ways of as few edges as can be, so that none goes in a circle.
+    unit = 1
+    if not one.where("step <= 0").isEmpty():
+        unit, one = 1 << 20, one.withColumn("step", F.col("step") * (1 << 20) + 1)
+    turn = lambda back, a, b: one.select(F.lit(back).alias("back"), F.col(a).alias("at"), F.col(b).alias("to"), "step", "edge_id")
+    arcs = tables.write(turn(False, "start_node", "end_node").unionAll(turn(True, "end_node", "start_node")))
+    far = tables.write(arcs.groupBy("back", "at").agg(F.max("step").alias("far"), F.min("step").alias("near")))
+    first = int(4 * (far.agg(F.avg(F.greatest("near", F.lit(unit)))).first()[0] or 1))
+    wanted = tables.write(pairs.select("source", "target").distinct().withColumn("want", F.lit(first).cast("long")))
+    none, labels, done, found = F.lit(None).cast("long"), None, [], []
+    for _ in range(max_rounds):
+        radii = lambda end, name: wanted.groupBy(end).agg(F.max("want").alias(name))
+        asked = tables.write(wanted.join(radii("source", "ahead"), "source").join(radii("target", "behind"), "target"))
+        if asked.isEmpty():
+            break
+        root = lambda back, end, name: asked.select(F.lit(back).alias("back"), F.col(end).alias("root"), F.col(name).alias("radius")).distinct()
+        roots = root(False, "source", "ahead").unionAll(root(True, "target", "behind"))
+        if labels is None:
+            labels = tables.write(roots.select("*", F.col("root").alias("node"), F.struct(F.lit(0).cast("long").alias("cost"), none.alias("edge_id"), none.alias("came")).alias("best"), none.alias("old")))
+        else:
+            done.append(tables.write(labels.join(roots, ["back", "root"], "left_anti")))
+            last, labels = labels, tables.write(labels.drop("radius", "old").join(roots, ["back", "root"]).withColumn("old", none))
+            tables.drop(last)
+        labels = within(arcs, labels, tables, max_rounds)
+        ends = labels.join(far.withColumnRenamed("at", "node"), ["back", "node"], "left").groupBy("back", "root").agg((F.max(F.col("best.cost") + F.coalesce("far", F.lit(0))) <= F.max("radius")).alias("whole"))
+        whole = lambda back, end: ends.where(F.col("back") == back).select(F.col("root").alias(end), F.col("whole").alias(f"{end}_whole"))
+        now = asked.join(met(arcs, labels, asked), ["source", "target"], "left").join(whole(False, "source"), "source").join(whole(True, "target"), "target")
+        settled = F.col("source_whole") | F.col("target_whole") | F.coalesce(F.col("held") <= F.col("ahead") + F.col("behind"), F.lit(False))
+        now = tables.write(now.withColumn("settled", settled))
+        found.append(now.where("settled and held is not null").select("source", "target", "held", "ahead"))
+        grown = F.when(F.col("held").isNull(), F.col("want") * 2).otherwise(F.least(F.ceil(F.col("held") / 2).cast("long"), F.col("want") + F.ceil(F.col("want") / 2).cast("long")))
+        tables.drop(wanted, asked)
+        wanted = tables.write(now.where("not settled").select("source", "target", grown.alias("want")))
+    else:
+        raise ValueError(f"no end after {max_rounds} rounds")
+    if not found:
+        return spark.createDataFrame([], "source long, target long, step int, edge_id long")
+    every = lambda some: reduce(DataFrame.unionByName, some)
+    held = every(done + [labels])
+    ahead = held.where(~F.col("back")).select(F.col("root").alias("source"), "node", "best.*")
+    behind = held.where("back").select(F.col("root").alias("target"), "node", F.col("best.cost").alias("rest"))
+    # The arcs that leave the search ahead, then all by which cheapest ways go on from there to the target.
+    out = every(found).where("held > ahead").join(ahead.select("source", "node", "cost"), "source").where("cost <= ahead")
+    out = out.select("source", "target", "node", (F.col("held") - F.col("cost")).alias("left"), (F.col("ahead") - F.col("cost")).alias("least"))
+    ways, arcs = [], arcs.where(~F.col("back")).drop("back")
+    for _ in range(max_rounds):
+        on = out.join(arcs, F.col("node") == F.col("at")).where((F.col("step") > F.col("least")) & (F.col("step") <= F.col("left")))
+        on = on.select("source", "target", F.col("to").alias("node"), "edge_id", F.col("at").alias("came"), (F.col("left") - F.col("step")).alias("rest"))
+        ways.append(tables.write(on.join(behind, ["target", "node", "rest"])))
+        out = ways[-1].where("node <> target").select("source", "target", "node", F.col("rest").alias("left"), F.lit(0).alias("least")).distinct()
+        if out.isEmpty():
+            break
+    else:
+        raise ValueError(f"ways are longer than {max_rounds} edges")
+    before = every(ways).groupBy("source", "target", "node").agg(F.min(F.struct("edge_id", "came")).alias("b"))
+    before = tables.write(before)
+    here = every(found).select("source", "target", F.col("target").alias("node"), F.lit(0).alias("step"))
+    tree, steps = ahead.select("source", "node", F.struct("edge_id", "came").alias("a")), []
+    for _ in range(max_rounds):
+        on = here.join(before, ["source", "target", "node"], "left").join(tree, ["source", "node"], "left").withColumn("e", F.coalesce("b", "a"))
+        steps.append(tables.write(on.where("e.edge_id is not null").select("source", "target", "step", "e.edge_id", "e.came")))
+        if steps[-1].isEmpty():
+            break
+        here = steps[-1].where("came <> source").select("source", "target", F.col("came").alias("node"), (F.col("step") + 1).alias("step"))
+    else:
+        raise ValueError(f"ways are longer than {max_rounds} edges")
+    return every(steps).select("source", "target", "step", "edge_id")
+
+
 def verified_paths(steps: DataFrame, edges: DataFrame, best: DataFrame) -> DataFrame:
     """(source, target, edges, cost, continuous, cheapest): each way is checked from its edges alone, without the search."""
     w = Window.partitionBy("source", "target").orderBy(F.desc("step"))

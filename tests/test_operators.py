@@ -237,6 +237,32 @@ def test_landmark_bounds_never_exceed_the_way(spark):
     assert bounds and all(x.bound <= ways.get((x.origin, x.target), float("inf")) for x in bounds)
 
 
+def test_ways_between_agree_with_ways_from_every_source(spark):
+    r = random.Random(3)
+    rows = [(r.randrange(40), r.randrange(40), r.randrange(1, 6) * 5) for _ in range(130)]  # many ways of equal cost, parallel edges, loops
+    edges = edges_of(spark, rows)
+    pairs = spark.createDataFrame([(r.randrange(44), r.randrange(44)) for _ in range(25)] + [(2, 2), (3, 4), (3, 4)], "source long, target long")
+    best = routing.shortest(edges, pairs.select("source").distinct())
+    want = {tuple(x) for x in routing.paths(edges, best, pairs.distinct()).collect()}
+    got = [(x.source, x.target, x.step, x.edge_id) for x in routing.ways_between(edges, pairs).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_ways_between_neighbours_stay_near(spark):
+    rows = [(a, a + d, 10) for a in range(1, 120) for d in (-1, 1)]
+    pairs = spark.createDataFrame([(5, 7), (60, 61), (119, 116)], "source long, target long")
+    with pytest.raises(ValueError):  # a search to all nodes
+        routing.shortest(edges_of(spark, rows), pairs.select("source"), max_rounds=12)
+    assert {(x.source, x.target): x["count"] for x in routing.ways_between(edges_of(spark, rows), pairs, max_rounds=12).groupBy("source", "target").count().collect()} == {(5, 7): 2, (60, 61): 1, (119, 116): 3}
+
+
+def test_ways_between_over_edges_of_no_cost(spark):
+    edges = edges_of(spark, [(0, 1, 0), (1, 0, 0), (1, 2, 5), (0, 2, 5), (2, 3, 0), (3, 2, 0)])
+    got = routing.ways_between(edges, spark.createDataFrame([(0, 3), (0, 1), (3, 0)], "source long, target long")).collect()
+    assert {(x.target, x.step, x.edge_id) for x in got} == {(3, 0, 4), (3, 1, 3), (1, 0, 0)}
+    assert routing.ways_between(edges.limit(0), edges.select(F.col("start_node").alias("source"), F.col("end_node").alias("target"))).isEmpty()
+
+
 def test_automaton_finds_each_banned_sequence(spark):
     r = random.Random(2)
     rules = [[r.randrange(4) for _ in range(r.randrange(2, 5))] for _ in range(6)]
